@@ -10,6 +10,7 @@ from .common import table
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import pack
+from .pii import personal_data
 from .quality_crf import quality, train
 
 
@@ -19,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,7 +40,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_two_fit, op5_quality_crf, op7_mix_sources, op9_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op7_mix_sources, op9_near_dedup)}
 
 OP9 = r"""
 WITH RECURSIVE words AS (
