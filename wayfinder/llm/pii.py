@@ -210,7 +210,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = checkpoint(docs.select("doc_id", candidates(F.col("text")).alias("found")))
     weights = learn(rows.select(F.explode("found").alias("s")).select("s.*"))
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    of_kind = lambda k: lambda s: s["base"] & (s["kind"] == k)
+    counts = [F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
     return rows.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(accepted(F.col("found"), weights)).alias("spans"))
 
 

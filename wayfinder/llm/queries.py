@@ -12,6 +12,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import personal_data
 from .quality_crf import quality, train
+from .quality_rules import rule_quality
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +33,10 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), train(spark, sf_dir))
 
 
+def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op7_mix_sources, op9_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup)}
 
 OP9 = r"""
 WITH RECURSIVE words AS (
