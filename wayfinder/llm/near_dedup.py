@@ -7,8 +7,9 @@ method, vectorised. Most texts need one or two steps.
 
 Documents whose sets are equal collapse first (by a 128-bit hash of the set). The rest meet in buckets, one for each band
 of ROWS slots. Each bucket's least document is compared with all others, on full sets; links found this way make
-components. Members of a bucket that then still lie in different components are compared in blocks, by signature and, if
-that leaves a similarity of 0.75 possible, on full sets. No bucket is capped and no task gets a whole one."""
+components. Where a bucket then still has several components, signatures tell which of them may hold similar documents;
+these make clusters, and in each cluster the documents outside its largest component meet all others on full sets, in
+blocks that an index of shingles joins. No bucket is capped and no task gets a whole one."""
 
 from __future__ import annotations
 
@@ -26,8 +27,8 @@ from .hashing import STEP, U, mix, shingle_sets
 #: A pair of similarity 0.75 meets in no band with probability (1 - 0.75^5)^32 = 0.0002, one of 0.8 with 0.000003.
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Share of equal signature bytes under which a pair can't have 0.75: six standard deviations below.
-LEAST_ALIKE = 0.54
+#: Share of equal signature bytes that a pair of similarity 0.75 reaches but for chances of one in 10^5: 4.4 deviations below.
+LEAST_ALIKE = 0.6
 #: Members of a bucket, or of a star, that one group of a block comparison takes from each side.
 BLOCK = 256
 EMPTY = U(2**64 - 1)
@@ -96,23 +97,80 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows (grp, side, doc_id, root, n, sign) the pairs of one group and different roots that may be similar."""
+    """Of sorted rows (grp, side, doc_id, root, n, sign): links (a, b) between the roots of a group's possibly similar members.
+
+    Side 1 meets side 0, side 2 meets itself. Links already implied by others of the group are left out."""
     for _, rows in _groups(batches, ["grp"]):
         side = np.array(rows["side"])
-        ids, root, n = (np.array(rows[c], np.int64) for c in ("doc_id", "root", "n"))
-        sign = np.frombuffer(b"".join(rows["sign"]), np.uint8).reshape(len(ids), -1)
-        one = side >= 1  # 1: outsiders of this block; 0: the other block; 2: both are the same block
-        left, right = np.flatnonzero(one), np.flatnonzero(side != 1)
-        a, b = [], []
-        for i in left:
-            fit = (root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i]))
-            cand = right[fit]
-            if len(cand):
-                cand = cand[(sign[cand] == sign[i]).mean(1) >= LEAST_ALIKE]
-                a.append(np.full(len(cand), ids[i])), b.append(ids[cand])
-        if a:
-            x, y = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        root, n = (np.array(rows[c], np.int64) for c in ("root", "n"))
+        sign = np.frombuffer(b"".join(rows["sign"]), np.uint8).reshape(len(n), -1)
+        names, at = np.unique(root, return_inverse=True)
+        group = np.arange(len(names))
+        right = np.flatnonzero(side != 1)
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(side >= 1):
+            other = right[group[at[right]] != group[at[i]]]
+            other = other[100 * np.minimum(n[other], n[i]) >= 75 * np.maximum(n[other], n[i])]
+            if len(other):
+                near = np.unique(at[other[(sign[other] == sign[i]).mean(1) >= LEAST_ALIKE]])
+                for r in near:
+                    if group[r] != group[at[i]]:
+                        found.append((int(names[at[i]]), int(names[r])))
+                        group[group == group[r]] = group[at[i]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], ["a", "b"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (grp, side, doc_id, root, text), sorted so that in each group sides 2 and 1 come before 0: all links (a, b) of
+    different roots. The group's first rows are indexed by shingle; the others, or on side 2 they themselves, look up
+    theirs one by one. Each row gives a link to each root at most."""
+    key, ids, roots, sets, index, both = None, [], [], [], None, False
+    found: list[tuple[int, int]] = []
+
+    def close() -> None:
+        nonlocal index
+        sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets) if sets else np.empty(0, U)
+        order = np.argsort(flat, kind="stable")
+        index = (flat[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes, np.array(ids, np.int64), np.array(roots, np.int64))
+
+    def look(doc: int, root: int, own: np.ndarray) -> None:
+        flat, who, sizes, names, theirs = index
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        count = hi - lo
+        hit = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(who[hit], minlength=len(sizes))
+        good = np.flatnonzero((theirs != root) & (100 * shared >= 75 * (sizes + len(own) - shared)))
+        if len(good):
+            for k in good[np.unique(theirs[good], return_index=True)[1]]:
+                found.append((min(doc, int(names[k])), max(doc, int(names[k]))))
+
+    def ended() -> None:
+        if both:
+            close()
+            for x in zip(ids, roots, sets, strict=True):
+                look(*x)
+
+    for part, texts in slices(batches):
+        cols = part.to_pydict()
+        for grp, side, doc, root, own in zip(cols["grp"], cols["side"], cols["doc_id"], cols["root"], shingle_sets(texts), strict=True):
+            if grp != key:
+                ended()
+                key, ids, roots, sets, index, both = grp, [], [], [], None, False
+            if side:
+                ids.append(doc), roots.append(root), sets.append(own)
+                both |= side == 2
+            else:
+                if index is None:
+                    close()
+                look(doc, root, own)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            found = []
+    ended()
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]):
@@ -192,32 +250,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # documents of one id with several texts hold their sets together
     same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     roots = components(links)
-    links = links.union(confirm(_left_over(bucket, solo, roots), docs))
+    links = links.union(_left_over(bucket, solo, docs, roots))
     full = components(links.union(same))
     out = signed.join(full.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _left_over(bucket: DataFrame, solo: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket whose members the first comparison left in different components.
-
-    Outsiders are the members outside the component of the bucket's least document. In blocks of BLOCK, they meet each
-    other and all other members; insiders never meet insiders."""
-    named = bucket.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "head", F.coalesce("root", "doc_id").alias("root"))
-    heads = roots.select(F.col("node").alias("head"), F.col("root").alias("head_root"))
-    named = named.join(heads, "head", "left").withColumn("out", F.col("root") != F.coalesce("head_root", "head"))
-    counts = named.groupBy("key").agg(F.count_if("out").alias("outs"), F.count("*").alias("size")).where("outs > 0 AND size > 2")
-    named = checkpoint(named.join(counts, "key").withColumns({"ob": F.ceil(F.col("outs") / BLOCK).cast("int"), "ib": F.ceil((F.col("size") - F.col("outs")) / BLOCK).cast("int")}))
-    mark = F.xxhash64("doc_id")
-    at = F.when(F.col("out"), F.pmod(mark, F.col("ob"))).otherwise(F.pmod(mark, F.greatest("ib", F.lit(1)))).cast("int")
-    placed = named.withColumn("at", at)
-    # groups (left block, kind, right block): a left block of outsiders against each block of insiders and each later block of outsiders
-    outs = placed.where("out").select("key", "doc_id", "n", "root", F.explode(F.expr(
-        "concat(transform(sequence(0, greatest(ib, 1) - 1), j -> struct(at AS i, 0 AS kind, j AS j, 1 AS side)), "
-        "transform(sequence(0, ob - 1), j -> struct(least(at, j) AS i, 1 AS kind, greatest(at, j) AS j, CASE WHEN j = at THEN 2 WHEN at < j THEN 1 ELSE 0 END AS side)))")).alias("g"))
-    ins = placed.where("NOT out").select("key", "doc_id", "n", "root", F.explode(F.expr("transform(sequence(0, ob - 1), i -> struct(i AS i, 0 AS kind, at AS j, 0 AS side))")).alias("g"))
-    met = outs.union(ins).join(solo.select("doc_id", "sign"), "doc_id")
-    met = met.select(F.xxhash64("key", "g.i", "g.kind", "g.j").alias("grp"), F.col("g.side").alias("side"), "doc_id", "root", "n", "sign")
-    dealt = met.repartition("grp").sortWithinPartitions("grp")
-    return dealt.mapInArrow(_alike, "a long, b long").distinct()
+def _blocks(named: DataFrame, key: str) -> DataFrame:
+    """named(key, doc_id, root, out, ...) in groups, as further columns grp and side.
+
+    Within a key, every block of outsiders (out) meets every block of insiders, every later block of outsiders and itself;
+    insiders never meet insiders. Side 1 of a group meets its side 0; side 2 meets itself. Keys without outsiders go."""
+    counts = named.groupBy(key).agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins")).where("outs > 0")
+    blocks = counts.select(key, F.ceil(F.col("outs") / BLOCK).cast("int").alias("ob"), F.ceil(F.col("ins") / BLOCK).cast("int").alias("ib"))
+    at = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("ob")).otherwise(F.col("ib"))).cast("int")
+    placed = named.join(blocks, key).withColumn("at", at)
+    groups = F.expr(
+        "CASE WHEN out THEN concat(transform(CASE WHEN ib > 0 THEN sequence(1, ib) ELSE cast(array() AS array<int>) END, j -> struct(at AS i, 0 AS kind, j - 1 AS j, 1 AS side)), "
+        "transform(sequence(0, ob - 1), j -> struct(least(at, j) AS i, 1 AS kind, greatest(at, j) AS j, CASE WHEN j = at THEN 2 WHEN at < j THEN 1 ELSE 0 END AS side))) "
+        "ELSE transform(sequence(0, ob - 1), i -> struct(i AS i, 0 AS kind, at AS j, 0 AS side)) END")
+    dealt = placed.withColumn("g", F.explode(groups))
+    return dealt.select(*named.columns, F.xxhash64(key, "g.i", "g.kind", "g.j").alias("grp"), F.col("g.side").alias("side"))
+
+
+def _left_over(bucket: DataFrame, solo: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between documents of a bucket that the first comparison left in different components.
+
+    First signatures tell which components hold documents that may be similar; they make clusters. Then, in each cluster,
+    the documents outside its largest component meet all others of the cluster on full sets."""
+    roots = roots.withColumnRenamed("node", "doc_id")
+    named = bucket.join(roots, "doc_id", "left").select("key", "doc_id", "n", "head", F.coalesce("root", "doc_id").alias("root"))
+    heads = roots.select(F.col("doc_id").alias("head"), F.col("root").alias("head_root"))
+    named = named.join(heads, "head", "left").withColumn("out", F.col("root") != F.coalesce("head_root", "head")).select("key", "doc_id", "n", "root", "out")
+    met = _blocks(named, "key").join(solo.select("doc_id", "sign"), "doc_id").select("grp", "side", "doc_id", "root", "n", "sign")
+    near = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_alike, "a long, b long").distinct()
+    cluster = components(near).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    rows = solo.select("doc_id").distinct().join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")).join(cluster, "root")
+    rows = checkpoint(rows)
+    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+    most = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"))
+    rows = rows.join(most, "cluster").select("cluster", "doc_id", "root", (F.col("root") != F.col("main")).alias("out"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = _blocks(rows, "cluster").join(texts, "doc_id").select("grp", "side", "doc_id", "root", "text")
+    return dealt.repartition("grp").sortWithinPartitions("grp", F.col("side").desc()).mapInArrow(_meet, "a long, b long")
