@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .fingerprints import fingerprints
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -45,7 +46,11 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup)}
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup, op10_order_minhash)}
 
 OP9 = r"""
 WITH RECURSIVE words AS (
