@@ -57,11 +57,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
 
 
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int, most: int) -> list[tuple[str, int]]:
-    """Up to `most` (text, label) rows that aren't held out, in a fixed pseudo-random order that ids alone decide.
+    """Up to `most` (text, label) rows that aren't held out, half of them of either label if there are as many, in a fixed
+    pseudo-random order that ids alone decide.
 
     Only here is anything sampled, for fitting a classifier; `most` bounds what reaches the driver."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
-    chosen = labels.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id", "label").limit(most)
+    labels = labels.withColumn("at", F.xxhash64("doc_id"))
+    half = [labels.where(F.col("label") == y).orderBy("at", "doc_id").limit(most // 2) for y in (0, 1)]
+    chosen = half[0].union(half[1])
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = docs.join(F.broadcast(chosen), "doc_id").select("at", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
     return [(r.text, int(r.label)) for r in sorted(rows.toLocalIterator(), key=lambda r: (r.at, r.doc_id, r.label, r.text))]

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fingerprints import fingerprints
+from .html_extract import extracted
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import personal_data
-from .quality_crf import quality, train
+from .quality_crf import quality
+from .quality_crf import train as train_quality
 from .quality_rules import rule_quality
+from .toxicity import toxicity
+from .toxicity import train as train_toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,6 +26,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
 
@@ -30,8 +38,12 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), train_toxicity(spark, sf_dir))
+
+
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), train(spark, sf_dir))
+    return quality(table(spark, sf_dir, "documents"), train_quality(spark, sf_dir))
 
 
 def op6_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +62,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_personal_data, op3_best_two_fit, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup, op10_order_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_personal_data, op3_best_two_fit, op4_toxicity, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup, op10_order_minhash)}
 
 OP9 = r"""
 WITH RECURSIVE words AS (
