@@ -158,6 +158,8 @@ LABELLED = [
     ((42, 0.0, 35, 0.0, 51, 0.0, 1, 0, 0, 1, 0, 0), 1), ((3, 0.0, 40, 0.0, 38, 0.1, 1, 0, 0, 1, 0, 0), 1), ((1, 0.0, 12, 0.0, 25, 0.0, 1, 0, 0, 1, 0, 0), 1), ((9, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 1, 1, 0), 1),
     ((120, 0.05, 9, 0.0, 80, 0.0, 1, 0, 0, 1, 0, 0), 1), ((15, 0.4, 60, 0.0, 22, 0.0, 1, 0, 0, 1, 0, 0), 1), ((6, 1.0, 44, 0.0, 31, 0.0, 1, 0, 0, 1, 0, 0), 1), ((7, 0.0, 11, 0.0, 9, 0.0, 1, 0, 0, 1, 0, 1), 1),
     ((4, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 1, 0, 1), 1), ((30, 0.0, 8, 0.0, 9, 0.0, 1, 0, 0, 1, 0, 0), 1), ((2, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1, 0, 0), 1), ((18, 0.0, 1, 0.0, 6, 0.2, 1, 0, 0, 1, 0, 0), 1),
+    ((1, 1.0, 40, 0.0, 22, 0.0, 1, 0, 0, 1, 0, 0), 1), ((2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 1), ((1, 1.0, 0, 0.0, 3, 0.0, 1, 0, 0, 1, 1, 0), 1), ((1, 0.0, 5, 1.0, 2, 1.0, 1, 0, 0, 1, 0, 0), 1), ((3, 0.0, 1, 1.0, 44, 0.0, 1, 0, 0, 1, 0, 0), 1), ((12, 0.9, 7, 0.8, 30, 0.0, 1, 0, 0, 1, 0, 0), 1),
+    ((2, 0.5, 2, 1.0, 0, 0.0, 1, 0, 0, 1, 0, 1), 1), ((1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1, 0, 0), 1), ((60, 0.8, 1, 0.0, 1, 0.9, 1, 0, 0, 1, 0, 0), 1), ((5, 0.6, 50, 0.1, 50, 0.7, 1, 0, 0, 1, 0, 0), 1), ((25, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 0, 0), 1), ((1, 1.0, 1, 1.0, 0, 0.0, 1, 0, 0, 1, 0, 1), 1),
     # menus, headers, footers, sidebars and forms, also inside an article
     ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0, 1), 0), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 1), 0), ((6, 0.0, 41, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 0), ((45, 0.0, 60, 0.0, 12, 0.0, 0, 1, 0, 1, 0, 0), 0),
     ((5, 0.0, 22, 0.0, 30, 0.0, 1, 1, 0, 1, 0, 0), 0), ((28, 0.1, 35, 0.0, 40, 0.0, 1, 1, 0, 1, 0, 0), 0), ((4, 0.0, 2, 0.0, 9, 0.0, 1, 1, 0, 1, 1, 0), 0), ((3, 1.0, 14, 0.0, 3, 1.0, 1, 1, 0, 1, 0, 1), 0),
