@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .fingerprints import fingerprints
 from .html_extract import extracted
+from .lm_score import pseudo_likelihood
 from .mixing import mixed
 from .near_dedup import near_duplicates
 from .packing import pack
@@ -54,6 +55,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_personal_data, op3_best_two_fit, op4_toxicity, op5_quality_crf, op6_rule_quality, op7_mix_sources, op9_near_dedup, op10_order_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_text, op2_personal_data, op3_best_two_fit, op4_toxicity, op5_quality_crf, op6_rule_quality, op7_mix_sources, op8_pseudo_likelihood, op9_near_dedup, op10_order_minhash)}
 
 OP9 = r"""
 WITH RECURSIVE words AS (
