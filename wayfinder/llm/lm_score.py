@@ -26,7 +26,8 @@ OWN = IDS - HASHED
 EDGE = IDS  # stands beyond a document's ends
 REACH = (-2, -1, 1, 2)
 WIDTH, HIDDEN = 16, 32
-STEP_WORDS = 8192
+#: Words of a step of training; the first steps are short, so that few words teach something too.
+STEP_WORDS, FIRST_STEP = 8192, 256
 RATE = 0.01
 SHAPES = {"embed": (IDS + 1, WIDTH), "w1": (len(REACH) * WIDTH, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, HIDDEN, PLACES), "bm": (CLASSES, PLACES)}
 
@@ -165,11 +166,14 @@ def _train(p0: dict[str, np.ndarray], words: np.ndarray, own: np.ndarray):
         for _, texts in slices(batches):
             tokens, bounds = ids(texts, words, own)
             around = neighbours(tokens, bounds)
-            for a in range(0, len(tokens), STEP_WORDS):
-                t, grad = tokens[a : a + STEP_WORDS], {}
-                log_probabilities(p, t, around[a : a + STEP_WORDS], grad)
+            a = 0
+            while a < len(tokens):
+                size = min(STEP_WORDS, FIRST_STEP << min(steps // 24, 20))
+                t, grad = tokens[a : a + size], {}
+                log_probabilities(p, t, around[a : a + size], grad)
+                a += size
                 steps += 1
-                share = len(t) / STEP_WORDS
+                share = len(t) / size
                 for k in p:  # Adam, ascending
                     m[k] += 0.1 * (grad[k] - m[k])
                     v[k] += 0.01 * (grad[k] ** 2 - v[k])

@@ -92,26 +92,32 @@ NAMES = ("symbols", "upper", "bangs", "digits", "length", "repeats", "lines", "s
 def learn(votes: DataFrame) -> tuple[float, dict[tuple[str, int, int], float]]:
     """The share of good documents, and the chance of each vote by a rule on bad (0) and good (1) documents, by EM.
 
-    The table of vote patterns and counts has at most 3^9 rows; a round brings one row of sums to the driver. Rules start
-    as right two times in three when they vote."""
+    The table of vote patterns and counts has at most 3^9 rows; a round brings one row of sums to the driver. EM begins with
+    a document's probability of being good falling with each bad vote, so that a kind of bad documents that one rule alone
+    sees isn't outvoted before it is known. A rule is never taken for worse than chance: a vote that would count against
+    what it says counts nothing."""
     patterns = checkpoint(votes.groupBy(*NAMES).agg(F.count("*").cast("double").alias("n")).coalesce(1))
-    prior = 0.8
-    chance = {(r, y, v): (0.25 if v == 0 else 0.55 if (v > 0) == (y > 0) else 0.2) for r in NAMES for y in (0, 1) for v in (-1, 0, 1)}
+    bad = sum((F.when(F.col(r) == -1, 1).otherwise(0) for r in NAMES), F.lit(0))
+    p = 0.95 * F.pow(F.lit(0.3), bad)
     for _ in range(ROUNDS):
-        p = posterior(prior, chance)
         sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
         for r in NAMES:
             for v in (-1, 0, 1):
                 own = F.when(F.col(r) == v, F.col("n")).otherwise(0.0)
                 sums += [F.sum(own).alias(f"{r} {v}"), F.sum(own * F.col("p")).alias(f"{r} {v} good")]
         s = {k: x or 0.0 for k, x in patterns.withColumn("p", p).agg(*sums).first().asDict().items()}
-        prior = (s["good"] + 8) / (s["n"] + 10)
+        good, rest = s["good"], s["n"] - s["good"]
+        prior = (good + 1.6) / (s["n"] + 2)
+        chance = {}
         for r in NAMES:
             for v in (-1, 0, 1):
-                # each rule keeps a say of ten documents that vote as it began
-                first = lambda y: 2.5 if v == 0 else 5.5 if (v > 0) == (y > 0) else 2.0  # noqa: E731, B023
-                chance[r, 1, v] = (s[f"{r} {v} good"] + first(1)) / (s["good"] + 10)
-                chance[r, 0, v] = (s[f"{r} {v}"] - s[f"{r} {v} good"] + first(0)) / (s["n"] - s["good"] + 10)
+                # each rule keeps a say of two documents that vote as a fair rule would
+                first = lambda y: 0.5 if v == 0 else 1.1 if (v > 0) == (y > 0) else 0.4  # noqa: E731, B023
+                on_good, on_bad = (s[f"{r} {v} good"] + first(1)) / (good + 2), (s[f"{r} {v}"] - s[f"{r} {v} good"] + first(0)) / (rest + 2)
+                if v and (on_good - on_bad) * v < 0:
+                    on_good = on_bad = (on_good * good + on_bad * rest + 1e-9) / (good + rest + 1e-9)
+                chance[r, 1, v], chance[r, 0, v] = on_good, on_bad
+        p = posterior(prior, chance)
     return prior, chance
 
 
