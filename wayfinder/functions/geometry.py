@@ -143,7 +143,7 @@ def projection(px, py, ax, ay, bx, by) -> Column:
     px, py, ax, ay, bx, by = map(_c, (px, py, ax, ay, bx, by))
     n = squared(ax, ay, bx, by)
     t = ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / F.nullif(n, n * 0)
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+    return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))).otherwise(0.0)
 
 
 def point_segment(p: Column, a: Column, b: Column) -> Column:

@@ -111,11 +111,14 @@ def polyline_edges(lines: DataFrame) -> DataFrame:
     return there.union(back).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the least node of each one's component, by alternating large-star and small-star rounds.
-
-    Every round groups by node with partial aggregation and joins the minima back, so no task holds a whole component."""
-    e = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+def stars(links: DataFrame) -> DataFrame:
+    """(u, v) for every node u that links(a, b) join to a lesser one: v is the least of its component.
+
+    Alternating large-star and small-star rounds: every larger neighbour of a node moves to its least neighbour, then the
+    smaller neighbours do. A round groups by node with partial aggregation and joins the minima back, a join that adaptive
+    execution may split, so no task holds a whole component. The rounds end when each node hangs on one that hangs on
+    nothing. Loops, repeats and null ends are ignored."""
+    e = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -124,7 +127,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v")
         e = checkpoint(small.distinct())
         if e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
-            break
+            return e
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of each one's component."""
+    e = stars(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     return nodes.select(F.col("id").alias("node")).join(e.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import graph, joins, labels, merge, report, route, search
+from ..session import checkpoint
 from ..sources import catalog, features, files
 from ..streaming import live
 from .fixtures import view, with_views
@@ -33,12 +35,19 @@ def query(sql: str | None = None, *views: str):  # noqa: ANN201
 
 
 class _Views:
+    """The views by name. The edges, which SQL takes from all pairs of points, come from the nearest-neighbour join here."""
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        near = joins.knn_join(self.pts, self.pts, 8)
+        return checkpoint(graph.symmetrize(near.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.ceil(F.sqrt("d2") * 100).alias("w"))))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -475,8 +484,7 @@ def category_counts(v):
 
 @query("SELECT src, dst, w FROM edges", "edges")
 def symmetrize_edges(v):
-    near = joins.knn_join(v.pts, v.pts, 8)
-    return graph.symmetrize(near.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.ceil(F.sqrt("d2") * 100).alias("w")))
+    return v.edges
 
 
 @query("SELECT src, count(*) AS degree, min(w) AS nearest, max(w) AS furthest FROM edges GROUP BY src", "edges")
