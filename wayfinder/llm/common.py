@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import let
+from ..session import checkpoint
+
+__all__ = ["BLOCK_BYTES", "WORD", "checkpoint", "chunks", "held_out", "labelled_sample", "let", "slices", "table"]
 #: Words everywhere in this subpackage: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy block works on; longer documents make a block of their own.
@@ -19,22 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the reliable checkpoint folder, its lineage cut.
-
-    The folder is the session's own; spark.checkpoint.dir is taken when none is set, a temporary one only when
-    neither is there, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with value evaluated once however often body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True for the rows whose labels stay unseen: crc32 of doc_id as text, modulo modulus; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
@@ -56,6 +43,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
         yield batch.slice(begin), texts[begin:]
 
 
+def chunks(texts: list[str], most: int = BLOCK_BYTES) -> Iterator[list[str]]:
+    """The texts in order, in lists of about `most` bytes at most."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield texts[begin:i]
+            begin, size = i, 0
+        size += len(t)
+    if texts:
+        yield texts[begin:]
+
+
 def labelled_sample(spark: SparkSession, sf_dir: str, label: str, modulus: int, remainder: int, most: int) -> list[tuple[str, int]]:
     """Up to `most` (text, label) rows that aren't held out, half of them of either label if there are as many, in a fixed
     pseudo-random order that ids alone decide.

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices
+from .common import chunks, held_out, labelled_sample, slices
 from .hashing import SPACE, STEP, mix, word_hashes
 
 #: Labelled documents that the fit reads at most, and its passes over them.
-SAMPLE = 4000
+SAMPLE = 3000
 STEPS = 120
 #: Thresholds of each measure of a line; a feature says that the measure is above one.
 CUTS = {
@@ -137,7 +137,9 @@ def fit(rows: list[tuple[str, int]]) -> dict[str, np.ndarray]:
     if not rows or len({y for _, y in rows}) < 2:
         base = np.clip(np.mean([y for _, y in rows]) if rows else 0.5, 0.01, 0.99)
         return {"w": np.zeros(N_ALL), "edge": np.zeros((2, 2)), "curve": np.array([0.0, np.log(base / (1 - base))])}
-    own, weight, bounds = lines([t for t, _ in rows])
+    parts = [lines(c) for c in chunks([t for t, _ in rows])]
+    own, weight = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     x, label = with_neighbours(own, bounds), np.array([y for _, y in rows])
     y = np.repeat(label, np.diff(bounds))
     # a document's lines weigh as much as 1 + log of their number, and both labels the same in sum

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, slices
+from .common import chunks, held_out, labelled_sample, slices
 from .hashing import STEP, U, mix
 
 #: Labelled documents that the fit reads at most, its passes, and its penalties.
-SAMPLE = 5000
+SAMPLE = 3000
 STEPS = 120
 L1, SWAP = 2e-4, 1.0
 BITS = 20
@@ -98,17 +98,30 @@ def swapped(text: str, at: int) -> str:
     return " ".join(words)
 
 
+def _all_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all texts, and which text each is of."""
+    out, who, done = [], [], 0
+    for c in chunks(texts):
+        x, at = features(c)
+        out.append(x.astype(np.int32))
+        who.append(np.repeat(np.arange(done, done + len(c), dtype=np.int32), np.diff(at)))
+        done += len(c)
+    return np.concatenate(out), np.concatenate(who)
+
+
 def fit(rows: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     """Weights and intercept, by accelerated proximal gradient steps with a step for each feature by how many texts have it."""
     y = np.array([label for _, label in rows], float)
     if len(set(y.tolist())) < 2:
         p = np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99)
         return np.zeros(DIMS, np.float32), float(np.log(p / (1 - p)))
-    x, at = features([t for t, _ in rows])
-    z, zt = features([swapped(t, i) for i, (t, _) in enumerate(rows)])
-    row, other = np.repeat(np.arange(len(y)), np.diff(at)), np.repeat(np.arange(len(y)), np.diff(zt))
-    names, inverse = np.unique(np.concatenate([x, z]), return_inverse=True)
-    x, z = inverse[: len(x)], inverse[len(x) :]
+    x, row = _all_features([t for t, _ in rows])
+    z, other = _all_features([swapped(t, i) for i, (t, _) in enumerate(rows)])
+    used = np.zeros(DIMS, bool)
+    used[x] = used[z] = True
+    names = np.flatnonzero(used)
+    position = np.cumsum(used, dtype=np.int32) - 1
+    x, z = position[x], position[z]
     held = np.bincount(x, minlength=len(names))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     # a sum over rows of many features moves far: each step is scaled by the mean number of weighing features
