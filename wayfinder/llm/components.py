@@ -1,36 +1,14 @@
-"""Union-find over links that live in DataFrames: alternating large-star and small-star rounds."""
+"""Union-find over links that live in DataFrames."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..operators.graph import stars
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b); root is the least node of its component.
-
-    Each round groups by node with partial aggregation and joins the minimum back, a join that adaptive execution may
-    split, so that a node with a third of all links doesn't fill one task. The rounds end when every node hangs on a
-    root that hangs on nothing. Null ends, loops and repeated links are ignored; no links give no rows."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = checkpoint(e)
-    while True:
-        # large star: every larger neighbour of u moves to the least neighbour of u
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # small star: u and its smaller neighbours move to the least of them
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(lower, "u")
-        small = moved.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v")
-        e = checkpoint(small.distinct())
-        hang = e.select(F.col("v").alias("u")).distinct()
-        if e.join(hang, "u", "left_semi").isEmpty() and not _several(e):
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _several(e: DataFrame) -> bool:
-    """Does a node hang on more than one other?"""
-    return not e.groupBy("u").count().where("count > 1").isEmpty()
+    """(node, root) for every node of edges(a, b); root is the least node of its component. No links give no rows."""
+    e = stars(edges)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
