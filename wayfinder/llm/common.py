@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,20 +30,26 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: workers live on between tasks and would keep the most that they ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with at most about `most` bytes of text each, and their texts ('' for null)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        texts = ["" if t is None else t for t in column.to_pylist()]
         begin = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > most:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate([*pc.fill_null(pc.binary_length(column), 0).to_pylist(), most + 1]):
+            if (size and size + n > most) or i == len(column):
+                yield batch.slice(begin, i - begin), ["" if t is None else t for t in column.slice(begin, i - begin).to_pylist()]
                 begin, size = i, 0
-            size += len(t)
-        yield batch.slice(begin), texts[begin:]
+            size += n
+    _give_back()
 
 
 def chunks(texts: list[str], most: int = BLOCK_BYTES) -> Iterator[list[str]]:

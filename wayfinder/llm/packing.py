@@ -8,6 +8,7 @@ piece finds its bin from its rank among the pieces of its length."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ CAPACITY = 2048
 BUCKETS = 4096
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 400_000
+#: Latin letters that the tokenizer's normaliser turns into letters one by one, and a tail of ASCII marks.
+_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-/:-@\[-`{-~]*)")
 _tokenizers: dict[str, _Words] = {}
 
 
@@ -33,9 +36,18 @@ class _Words:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        # for plain words, which are lower-cased and parted before: only spaces part them then
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_plain = getattr(self.plain, "encode_batch_fast", self.plain.encode_batch)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -45,35 +57,60 @@ class _Words:
         self.begin = np.zeros(1 << 14, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        """Ids of new words. Words of letters and at most a tail of marks go to the tokenizer as one text a chunk: each
+        of their one or two parts ends with the only token that has the suffix of word ends, which tells them apart."""
+        kinds = [_PLAIN.fullmatch(w) for w in words]
+        plain = [w for w, k in zip(words, kinds, strict=True) if k]
+        spaced = [f"{k[1]} {k[2]}" if k[2] else k[1] for k in kinds if k]
+        parts = np.array([1 + (" " in x) for x in spaced], np.int64)
+        for k in range(0, len(plain), 20_000):
+            chunk = plain[k : k + 20_000]
+            ids = np.array(self.encode_plain([" ".join(spaced[k : k + 20_000]).lower()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            last = np.cumsum(parts[k : k + 20_000])
+            if len(ends) == last[-1]:
+                self.add(chunk, ids, ends[last - 1] + 1)
+            else:
+                self.one_by_one(chunk)
+        self.one_by_one([w for w, k in zip(words, kinds, strict=True) if not k])
+
+    def one_by_one(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            found = [e.ids for e in encode(part, add_special_tokens=False)]
-            new = np.fromiter((i for ids in found for i in ids), np.uint32)
-            ends = self.size + np.cumsum([len(ids) for ids in found])
-            while len(self.ids) < self.size + len(new):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.begin) < self.words + len(part) + 1:
-                self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.ids[self.size : self.size + len(new)] = new
-            self.begin[self.words + 1 : self.words + len(part) + 1] = ends
-            self.at.update(zip(part, range(self.words, self.words + len(part)), strict=True))
-            self.size, self.words = self.size + len(new), self.words + len(part)
+            chunk = words[k : k + 20_000]
+            found = [e.ids for e in self.encode_batch(chunk, add_special_tokens=False)]
+            self.add(chunk, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
+
+    def add(self, words: list[str], new: np.ndarray, ends: np.ndarray) -> None:
+        while len(self.ids) < self.size + len(new):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.begin) < self.words + len(words) + 1:
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.ids[self.size : self.size + len(new)] = new
+        self.begin[self.words + 1 : self.words + len(words) + 1] = self.size + ends
+        self.at.update(zip(words, range(self.words, self.words + len(words)), strict=True))
+        self.size, self.words = self.size + len(new), self.words + len(words)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.words > KEPT_WORDS:
             self.clear()
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        column = pa.array(texts, pa.large_string())
+        if not any("<|" in t for t in texts):  # the tokenizer looks for its special tokens before it lower-cases
+            column = pc.ascii_lower(column)
+        split = pc.ascii_split_whitespace(column)
         bounds = split.offsets.to_numpy()
         coded = pc.dictionary_encode(split.flatten())
         unique = coded.dictionary.to_pylist()
-        self.learn([w for w in unique if w not in self.at])
-        word = np.fromiter((self.at[w] for w in unique), np.int64, len(unique))[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
-        begin = self.begin[word]
-        sizes = self.begin[word + 1] - begin
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        at = np.concatenate([[0], ends])[bounds - bounds[0]]
+        known = np.array([self.at.get(w, -1) for w in unique], np.int64)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            fresh = [unique[i] for i in new.tolist()]
+            self.learn(fresh)
+            known[new] = [self.at[w] for w in fresh]
+        word = known[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
+        table = pa.LargeListArray.from_arrays(pa.array(self.begin[: self.words + 1]), pa.array(self.ids[: self.size]))
+        taken = table.take(pa.array(word))
+        flat, ends = taken.values.to_numpy(), taken.offsets.to_numpy()
+        at = ends[bounds - bounds[0]]
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
