@@ -26,7 +26,7 @@ ASIDE = frozenset("nav header footer aside form menu dialog fieldset search".spl
 CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|footer|header|masthead|comments?|replies|reply|disqus|respond|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|footer|header|masthead|comments?|replies|reply|disqus|discussion|respond|cookies?|consent|notices?|alert|notif\w*|gdpr|popup|modal|overlay|toast|newsletter|subscribe|signup|login|feedback|"
     r"search|share|sharing|social|related|recommended|toolbar|pagination|pager|widget|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
