@@ -397,6 +397,19 @@ def test_files(spark, tmp_path):
     assert files.settings(str(tmp_path / "c.json")) == {"a": True, "b": False, "c": "x", "d": 3}
 
 
+def test_result_files(spark, tmp_path):
+    paths = spark.createDataFrame([("a", "g", 0, 1.0, 2.005)], "algorithm string, type string, seq int, x double, y double")
+    runs = spark.createDataFrame([("a", "g", 2, 3.14159, 5, 6, 7, 1.5), ("b", "g", 0, None, 1, 1, 1, 0.25)], "algorithm string, type string, nodes int, d double, visited int, relaxed int, heap_ops int, time_ms double")
+    files.write_results(paths, runs, str(tmp_path))
+    back = spark.read.option("header", True).csv(str(tmp_path / "algorithm_summary"))
+    assert {(r.algorithm, r.distance, r.time_ms) for r in back.collect()} == {("a", "3.14", "1.500"), ("b", "inf", "0.250")}
+    layers = spark.createDataFrame([("w:bygning", "bygning", "T"), ("w:q", "q", "")], "full_name string, name string, title string")
+    files.write_catalogue(layers, str(tmp_path / "c"))
+    assert {p.name for p in (tmp_path / "c" / "categories").glob("category=*")} == {"category=buildings", "category=other"}
+    p = lambda x: G.point(F.lit(x), F.lit(1.0))
+    assert list(one(spark, G.nearly_equal(p(1.0), p(1.0 + 1e-12)), G.nearly_equal(p(1.0), p(1.1)))) == [True, False]
+
+
 def test_streams(spark, tmp_path):
     spark.sql("SELECT * FROM VALUES (1, 7, timestamp'2024-01-01 00:00:00', 1D, 0D, 5D), (2, 7, timestamp'2024-01-01 00:30:00', 2D, 0D, 30D), (3, 7, timestamp'2024-01-01 00:40:00', 3D, 0D, 31D), (4, 7, timestamp'2024-01-01 02:00:00', 9D, 0D, 0D), (5, 7, timestamp'2024-01-01 02:30:00', 9D, 3D, 25D), (6, 8, timestamp'2024-01-01 01:00:00', 4D, 1D, 1D) AS t(event_id, route_id, ts, x, y, d)").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     stream = lambda: live.as_stream(spark, str(tmp_path), "events")

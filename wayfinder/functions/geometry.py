@@ -30,6 +30,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(squared(a["x"], a["y"], b["x"], b["y"]))
 
 
+def nearly_equal(a: Column, b: Column, by: float = 1e-9) -> Column:
+    """Do two points agree within `by` on both axes? Two nulls agree."""
+    return F.coalesce((F.abs(a["x"] - b["x"]) <= by) & (F.abs(a["y"] - b["y"]) <= by), a.isNull() & b.isNull())
+
+
 def add(a: Column, b: Column) -> Column:
     return point(a["x"] + b["x"], a["y"] + b["y"])
 

@@ -85,6 +85,30 @@ def path_coordinates(paths: DataFrame) -> DataFrame:
     return paths.select("algorithm", "type", F.col("seq").alias("point_index"), two("x").alias("x"), two("y").alias("y"))
 
 
+def run_summary(runs: DataFrame) -> DataFrame:
+    """runs(algorithm, type, nodes, d, visited, relaxed, heap_ops, time_ms) as they go to a CSV file; a path that isn't there
+    costs inf."""
+    cost = F.when(F.col("d").isNull(), "inf").otherwise(F.format_string("%.2f", F.col("d").cast("double")))
+    names = {"nodes": "path_nodes", "visited": "nodes_visited", "relaxed": "edges_relaxed", "heap_ops": "heap_operations"}
+    return runs.select("algorithm", "type", F.col("nodes").alias(names["nodes"]), cost.alias("distance"), *[F.col(c).alias(names[c]) for c in ("visited", "relaxed", "heap_ops")], F.format_string("%.3f", F.col("time_ms").cast("double")).alias("time_ms"))
+
+
+def write_results(paths: DataFrame, runs: DataFrame, place: str) -> None:
+    """Coordinates and summary as CSV with a header, and the runs as JSON, under place."""
+    path_coordinates(paths).write.mode("overwrite").option("header", True).csv(f"{place}/path_coordinates")
+    run_summary(runs).write.mode("overwrite").option("header", True).csv(f"{place}/algorithm_summary")
+    runs.write.mode("overwrite").json(f"{place}/runs")
+
+
+def write_catalogue(layers: DataFrame, place: str) -> None:
+    """All layers by name, their short list, and a folder of layers for each category that has any."""
+    from .catalog import categorized, simplified
+
+    layers.orderBy("name").write.mode("overwrite").json(f"{place}/layers")
+    simplified(layers).write.mode("overwrite").json(f"{place}/list")
+    categorized(layers).write.mode("overwrite").partitionBy("category").json(f"{place}/categories")
+
+
 def path_geojson(paths: DataFrame) -> DataFrame:
     """(query_id, geometry): each path as a GeoJSON line of longitudes and latitudes."""
     from ..functions.geometry import unproject
