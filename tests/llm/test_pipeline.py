@@ -36,3 +36,22 @@ def test_stages_and_run(spark, tmp_path):
     assert set(words) == set(taken)
     _, packed = kept["packing"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, repeats, an empty table and columns that are named as the operators' own."""
+    extra = ["score", "root", "key", "size", "src", "rep", "found", "part", "words", "place", "sign", "row", "h1"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    text = "The first line of a text is here and it ends.\nMail me at a@b.com for the rest of it, or don't."
+    rows = [(1, text), (1, text), (2, text + " More."), (None, text), (3, None), (4, ""), (5, "x " * 40), (6, "One more of the texts that says something else in its only line.")]
+    full = [(i, t, None, None if i == 6 else "s", None, *["z"] * len(extra)) for i, t in rows]
+    for table in (spark.createDataFrame(full, schema), spark.createDataFrame([], schema)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, SF)
+            got = out.collect()
+            assert (out.columns == table.columns) if k < 4 else ("sequence_id" in out.columns)
+            assert bool(got) == bool(table.count())
+            if k == 1 and got:
+                assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 3, 4, 5, 6] and sum(r.doc_id is None for r in got) == 1
+            if k == 2 and got:
+                assert all("<email>" in r.text for r in got if r.text and "Mail me" in r.text)

@@ -177,11 +177,11 @@ def scores(texts: list[str], model: dict[str, np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * np.log((m + 1e-3) / (1 - m + 1e-3)) + b, -30, 30)))
 
 
-def _score(model: dict[str, np.ndarray]):
+def _score(model: dict[str, np.ndarray], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, most=1 << 19):
             columns = {n: part.column(i) for i, n in enumerate(part.schema.names)}
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(scores(texts, model))], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(scores(texts, model))], [*columns, name])
 
     return run
 
@@ -191,13 +191,15 @@ def train(spark: SparkSession, sf_dir: str, most: int = SAMPLE) -> dict[str, np.
 
 
 def with_quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """docs with a last column score (0 to 1, higher: better), by the whole text alone; a null text counts as empty.
+    """docs with a last column (0 to 1, higher: better), by the whole text alone; a null text counts as empty.
 
-    docs needs a column text and none named score."""
+    The column is named score, with underscores behind it if docs has such a column."""
     from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("score", DoubleType())
-    return docs.mapInArrow(_score(model), schema)
+    name = "score"
+    while name in [c.lower() for c in docs.columns]:
+        name += "_"
+    return docs.mapInArrow(_score(model, name), StructType([*docs.schema.fields]).add(name, DoubleType()))
 
 
 def quality(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
