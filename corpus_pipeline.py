@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wayfinder.llm.common import table
 from wayfinder.llm.mixing import mixture
@@ -22,7 +23,8 @@ from wayfinder.llm.queries import tokenizer_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality of at least 0.5 by the line CRF; a null text is judged as an empty one."""
-    return with_quality(docs, train(spark, sf_dir)).where("score >= 0.5").select(docs.columns)
+    scored = with_quality(docs, train(spark, sf_dir))
+    return scored.where(F.col(scored.columns[-1]) >= 0.5).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
