@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell, segments_meet, squared
@@ -36,13 +36,14 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, reference: boo
     return met.select("id", "other", d2.alias("d2"))
 
 
-def _cell_size(points: DataFrame, k: int) -> tuple[float, float]:
-    """A cell in whose ring a disc is expected to hold 3 k points, and how far the points reach."""
-    s = points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if not s.n:
-        return 1.0, 0.0
-    w, h = float(s.x1 - s.x0), float(s.y1 - s.y0)
-    return max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * 3 * k / (math.pi * s.n)), max(w, h) / 4096, 1e-6), max(w, h)
+def _bounds(points: DataFrame) -> Row:
+    return points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+
+
+def _cell_size(b: Row, k: int) -> float:
+    """A cell in whose ring a disc is expected to hold 3 k of the points of these bounds."""
+    w, h = float(b.x1 - b.x0), float(b.y1 - b.y0)
+    return max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * 3 * k / (math.pi * b.n)), max(w, h) / 4096, 1e-6)
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False) -> DataFrame:
@@ -50,14 +51,15 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, with_self: bool = Fa
 
     Queries look into a ring of cells; those without k hits within the ring's safe distance look into one twice as wide,
     until the ring covers all points. Most end in the first round. A query outside the points' bounds starts further."""
-    size, reach = _cell_size(points, k)
-    own = _own(points, size, "other")
-    # candidates of a query come from cells, so a query far away must first come near
-    b = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    if b.x0 is None:
+    b = _bounds(points)
+    if not b.n:
         return queries.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
-    far = queries.agg(F.max(F.greatest(b.x0 - F.col("x"), F.col("x") - b.x1, b.y0 - F.col("y"), F.col("y") - b.y1, F.lit(0))).alias("far")).first().far or 0
-    last = math.ceil((reach + float(far)) / size) + 1
+    size = _cell_size(b, k)
+    own = _own(points, size, "other")
+    # the last ring reaches from any query over all points
+    q = b if queries is points else _bounds(queries)
+    far = max(q.x1 - b.x0, b.x1 - q.x0, q.y1 - b.y0, b.y1 - q.y0) if q.n else 0
+    last = math.ceil(float(far) / size) + 1
     open_, done, ring = queries.select("id", "x", "y"), None, 1
     by = Window.partitionBy("id").orderBy("d2", "other")
     while True:

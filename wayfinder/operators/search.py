@@ -7,6 +7,7 @@ to a checkpoint. Both give the same distances; weights must not be negative. Unr
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,29 +33,55 @@ class _Adjacency:
         self.to, self.w = b[order], w[order]
         self.start = np.searchsorted(a[order], np.arange(len(self.names) + 1))
 
-    def search(self, source: int, target: int | None = None, bound: float | None = None, ahead: Callable[[int], float] | None = None) -> tuple[dict[int, tuple[float, int]], int]:
-        """{node: (distance, previous)} in positions, and how many nodes were settled; ends at the target, or at the bound."""
+    def memo(self, name: str, make: Callable[[], object]) -> object:
+        """make(), once in each worker."""
+        kept = self.__dict__.setdefault("_kept", {})
+        if name not in kept:
+            kept[name] = make()
+        return kept[name]
+
+    def lists(self) -> tuple[list[int], list[float], list[int]]:
+        """The arrays as lists, which loops read several times as fast."""
+        return self.memo("lists", lambda: (self.to.tolist(), self.w.tolist(), self.start.tolist()))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_kept"}
+
+    def search(self, source: int, target: int | None = None, bound: float = math.inf, ahead: list[float] | None = None) -> tuple[dict[int, tuple[float, int]], int]:
+        """{node: (distance, previous)} in positions, and how many nodes were settled; ends at the target, or at the bound.
+
+        ahead holds a lower bound of each node's distance to the target."""
         at = int(np.searchsorted(self.names, source))
         if at >= len(self.names) or self.names[at] != source:
             return {}, 0
+        to, w, start = self.lists()
         best, done = {at: (0.0, -1)}, set()
-        heap = [(ahead(at) if ahead else 0.0, at)]
+        heap = [(ahead[at] if ahead else 0.0, at)]
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, u = heapq.heappop(heap)
+            _, u = pop(heap)
             if u in done:
                 continue
             done.add(u)
             if u == target:
                 break
             d = best[u][0]
-            for k in range(self.start[u], self.start[u + 1]):
-                v, new = int(self.to[k]), d + float(self.w[k])
-                if v not in done and (bound is None or new <= bound) and (v not in best or new < best[v][0] or (new == best[v][0] and u < best[v][1])):
+            for k in range(start[u], start[u + 1]):
+                v = to[k]
+                if v in done:
+                    continue
+                new = d + w[k]
+                old = best.get(v)
+                if new <= bound and (old is None or new < old[0] or (new == old[0] and u < old[1])):
                     best[v] = (new, u)
-                    heapq.heappush(heap, (new + (ahead(v) if ahead else 0.0), v))
+                    push(heap, (new + ahead[v] if ahead else new, v))
         return {v: x for v, x in best.items() if target is None or v in done}, len(done)
 
 
+#: Gives for the names of a graph's nodes a function of a target's position: lower bounds of all nodes' distances to it.
+Ahead = Callable[[np.ndarray], Callable[[int], np.ndarray]]
+
+
 def _small(edges: DataFrame) -> _Adjacency | None:
     """The edges in arrays, if there are few enough."""
     if edges.limit(SMALL_EDGES + 1).count() > SMALL_EDGES:
@@ -75,7 +102,7 @@ def _local(graph: _Adjacency, sources: DataFrame, bound: float | None) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in batch["source"]:
-                found, _ = graph.search(int(s), bound=bound)
+                found, _ = graph.search(int(s), bound=math.inf if bound is None else bound)
                 nodes = sorted(found)
                 prev = [found[v][1] for v in nodes]
                 yield pd.DataFrame({"source": s, "node": graph.names[nodes] if nodes else [], "d": [found[v][0] for v in nodes], "prev": pd.array([graph.names[p] if p >= 0 else None for p in prev], "Int64")})
@@ -147,35 +174,39 @@ def shortest_paths(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return guided_paths(edges, queries, None)
 
 
-def guided_paths(edges: DataFrame, queries: DataFrame, ahead: Callable[[np.ndarray], Callable[[int, int], float]] | None) -> DataFrame:
-    """Searches led by a lower bound of the rest: ahead(names) gives h(node, target) in positions, which must not exceed the
-    distance; then the result is that of shortest_paths, with fewer nodes visited."""
+def guided_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | None) -> DataFrame:
+    """Searches led by lower bounds of the rest, which must not exceed the distance; then the result is that of
+    shortest_paths, with fewer nodes visited."""
 
     def one(graph: _Adjacency, s: int, t: int) -> tuple[float | None, list[int] | None, int]:
         end = _place(graph, t)
         if s == t:
             return 0.0, [s], 1
-        h = None
-        if ahead is not None and end >= 0:
-            of = ahead(graph.names)
-            h = lambda v: of(v, end)
-        found, visited = graph.search(s, target=end, ahead=h)
+        rest = graph.memo("ahead", lambda: ahead(graph.names))(end).tolist() if ahead is not None and end >= 0 else None
+        found, visited = graph.search(s, target=end, ahead=rest)
         return (found[end][0], _follow(graph, found, end), visited) if end in found else (None, None, visited)
 
     return _pairs(edges, queries, one)
 
 
-def euclidean_ahead(nodes: DataFrame, scale: float = 1.0) -> Callable[[np.ndarray], Callable[[int, int], float]]:
-    """Straight-line distances times scale, rounded down by a billionth so that they stay below path lengths."""
-    p = nodes.select("id", "x", "y").toPandas()
-    places = dict(zip(p["id"], zip(p["x"], p["y"], strict=True), strict=True))
+def _aligned(names: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The table's rows for the names; NaN for names that aren't known."""
+    out = np.full((len(names), table.shape[1]), np.nan)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        there = known[at] == names
+        out[there] = table[at[there]]
+    return out
+
 
-    def of(names: np.ndarray) -> Callable[[int, int], float]:
-        def h(a: int, b: int) -> float:
-            (ax, ay), (bx, by) = places[int(names[a])], places[int(names[b])]
-            return scale * float(np.hypot(ax - bx, ay - by)) * (1 - 1e-9)
+def euclidean_ahead(nodes: DataFrame, scale: float = 1.0) -> Ahead:
+    """Straight-line distances times scale, less a billionth so that they stay below path lengths."""
+    p = nodes.select("id", F.col("x").cast("double"), F.col("y").cast("double")).toPandas().sort_values("id")
+    known, table = p["id"].to_numpy(np.int64), p[["x", "y"]].to_numpy(float)
 
-        return h
+    def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
+        at = _aligned(names, known, table)
+        return lambda t: np.nan_to_num(scale * (1 - 1e-9) * np.hypot(*(at - at[t]).T))
 
     return of
 
@@ -190,23 +221,19 @@ def alt_paths(edges: DataFrame, queries: DataFrame, landmarks: DataFrame) -> Dat
     return guided_paths(edges, queries, landmark_ahead(landmarks))
 
 
-def landmark_ahead(landmarks: DataFrame) -> Callable[[np.ndarray], Callable[[int, int], float]]:
+def landmark_ahead(landmarks: DataFrame) -> Ahead:
+    """The greatest difference of distances to a landmark that both reach; 0 where there is none."""
     p = landmarks.toPandas().pivot(index="node", columns="landmark", values="d")
-    names0, table = p.index.to_numpy(), p.to_numpy(float)
-
-    def of(names: np.ndarray) -> Callable[[int, int], float]:
-        at = np.searchsorted(names0, names)
-
-        def h(a: int, b: int) -> float:
-            gap = np.abs(table[at[a]] - table[at[b]])
-            return float(np.nanmax(gap)) if not np.isnan(gap).all() else 0.0
+    known, table = p.index.to_numpy(np.int64), p.to_numpy(float)
 
-        return h
+    def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
+        at = _aligned(names, known, table)
+        return lambda t: np.nan_to_num(np.abs(at - at[t]), nan=0.0).max(axis=1, initial=0.0)
 
     return of
 
 
-def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Callable[[np.ndarray], Callable[[int, int], float]] | None = None) -> DataFrame:
+def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | None = None) -> DataFrame:
     """shortest_paths from both ends: the two searches take turns until their least keys add up to the best meeting.
 
     With a lower bound h, both use the consistent potential (h(v, t) - h(s, v)) / 2, one with each sign."""
@@ -217,9 +244,10 @@ def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Callable[[n
             return 0.0, [s], 1
         if a < 0 or b < 0:
             return None, None, 0
-        h = ahead(graph.names) if ahead is not None else None
-        lean = (lambda v: (h(v, b) - h(v, a)) / 2) if h else (lambda v: 0.0)
-        shift = lean(a) - lean(b)
+        of = graph.memo("ahead", lambda: ahead(graph.names)) if ahead is not None else None
+        lean = ((of(b) - of(a)) / 2).tolist() if of else [0.0] * len(graph.names)
+        to, w, start = graph.lists()
+        shift = lean[a] - lean[b]
         best = [{a: (0.0, -1)}, {b: (0.0, -1)}]
         done: list[set[int]] = [set(), set()]
         heaps = [[(0.0, a)], [(0.0, b)]]
@@ -234,12 +262,12 @@ def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Callable[[n
                 continue
             done[k].add(u)
             d = best[k][u][0]
-            for i in range(graph.start[u], graph.start[u + 1]):
-                v, new = int(graph.to[i]), d + float(graph.w[i])
+            for i in range(start[u], start[u + 1]):
+                v, new = to[i], d + w[i]
                 if v not in best[k] or new < best[k][v][0]:
                     best[k][v] = (new, u)
                     done[k].discard(v)
-                    heapq.heappush(heaps[k], (new + (lean(v) - lean(a) if k == 0 else lean(b) - lean(v)), v))
+                    heapq.heappush(heaps[k], (new + (lean[v] - lean[a] if k == 0 else lean[b] - lean[v]), v))
                     if v in best[1 - k] and new + best[1 - k][v][0] < top:
                         top, meet = new + best[1 - k][v][0], v
         if meet < 0:
