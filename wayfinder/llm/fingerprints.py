@@ -7,6 +7,8 @@ equal order. Likeness is the share of equal slots among those that either finger
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,35 +28,40 @@ def fingerprint(text: Column) -> Column:
     slot = lambda x: F.shiftright(x, shift)
 
     def of(words: Column) -> Column:
+        kmer = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(K)])
         n = F.greatest(F.size(words) - (K - 1), F.lit(1))
-        kmer = lambda i: F.when(F.size(words) >= K, F.xxhash64(*[F.get(words, i + j) for j in range(K)])).otherwise(F.xxhash64(F.array_join(words, " ")))
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1)).cast("int")) - 1
-        at = lambda x: x.bitwiseAND(mask).cast("int")
-
+        # the low bits of a long that hold a place; bound once, as lambdas work out all that they name for each element
+        bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1)).cast("int")) - 1
+        many = let(bits, lambda mask: let(F.bitwise_not(mask), lambda top: ranked(F.transform(F.sequence(F.lit(0), n - 1), lambda i: kmer(i).bitwiseAND(top).bitwiseOR(i)), n, mask, top, kmer)))
+        only = F.xxhash64(F.array_join(words, " "))
+        few = let(F.lit(1).cast("long"), lambda mask: let(F.bitwise_not(mask), lambda top: ranked(F.array(only.bitwiseAND(top)), F.lit(1), mask, top, lambda i: only)))  # noqa: ARG005
+        return F.when(F.size(words) >= K, many).when(F.size(words) > 0, few).otherwise(F.array().cast("array<bigint>"))
+
+    def ranked(packed: Column, n: Column, mask: Column, top: Column, kmer: Callable[[Column], Column]) -> Column:
         def numbered(s: Column) -> Column:
             # s: hash above place, sorted; a run of equal hashes is one k-mer, its members' numbers go from 0
-            begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | ~F.coalesce(F.get(s, i - 1).bitwiseXOR(F.get(s, i)).between(0, mask), F.lit(False)))
+            begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i - 1).bitwiseXOR(F.get(s, i)).bitwiseAND(top) != 0))
             numbers = let(begins, lambda b: F.flatten(F.transform(b, lambda r, j: F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), n) - r - 1))))
-            ranks = let(numbers, lambda k: F.transform(s, lambda x, i: F.xxhash64(x.bitwiseAND(F.bitwise_not(mask)), F.get(k, i)).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(x.bitwiseAND(mask))))
+            ranks = let(numbers, lambda k: F.transform(s, lambda x, i: F.xxhash64(x.bitwiseAND(top), F.get(k, i)).bitwiseAND(top).bitwiseOR(x.bitwiseAND(mask))))
             return let(F.sort_array(ranks), selected)
 
         def selected(r: Column) -> Column:
-            few = F.filter(r, lambda x, i: F.coalesce(slot(F.get(r, i - TAKEN)) != slot(x), F.lit(True)))
-            return let(few, tuples)
+            return let(F.filter(r, lambda x, i: (i < TAKEN) | (slot(F.get(r, i - TAKEN)) != slot(x))), tuples)
 
         def tuples(m: Column) -> Column:
+            at = lambda x: x.bitwiseAND(mask).cast("int")
+
             def one(x: Column, i: Column) -> Column:
                 after = F.get(m, i + 1)
                 a, b = at(x), at(after)
                 pair = F.when(slot(after) == slot(x), F.xxhash64(kmer(F.least(a, b)), kmer(F.greatest(a, b)))).otherwise(F.xxhash64(kmer(a)))
-                first = F.coalesce(slot(F.get(m, i - 1)) != slot(x), F.lit(True))
+                first = (i == 0) | (slot(F.get(m, i - 1)) != slot(x))
                 low = F.lit((1 << shift) - 1).cast("long")
                 return F.when(first, F.call_function("shiftleft", slot(x), F.lit(shift)).bitwiseOR(pair.bitwiseAND(low)))
 
             return F.filter(F.transform(m, one), lambda x: x.isNotNull())
 
-        packed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: kmer(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
-        return F.when(F.size(words) > 0, let(F.sort_array(packed), numbered)).otherwise(F.array().cast("array<bigint>"))
+        return let(F.sort_array(packed), numbered)
 
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), of)
 
