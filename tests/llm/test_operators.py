@@ -172,6 +172,12 @@ def test_mixing(docs, empty, texts):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixing_of_many_sources_gives_the_same(docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mixed(docs).collect()), key=str)
+    monkeypatch.setattr(mixing, "MOST_SENT", 0)
+    assert sorted(map(tuple, mixing.mixed(docs).collect()), key=str) == want
+
+
 def test_mixture_materialises_what_the_plan_takes(docs, empty):
     plan = {(r.doc_id, r["size"]): r.taken for r in mixing.mixed(docs).collect()}
     got = defaultdict(int)

@@ -16,6 +16,8 @@ from .common import WORD, checkpoint
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 BUCKET_DIGITS = 3
+#: Sources, of some 100 bytes each, whose plan goes to all tasks at most; parts of a source where there are more.
+MOST_SENT, SALTS = 100_000, 64
 
 
 def _source(source: str = "source") -> Column:
@@ -80,6 +82,16 @@ def _place() -> Column:
     return F.when(F.col("cut_key").isNull(), 1).when(key < cut, -1).when(key == cut, 0).otherwise(1)
 
 
+def _planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows(src, key, ...) with their source's plan. The plan is sent to all tasks if a count says that it is small;
+    otherwise it is repeated for SALTS parts of each source, so that no task gets a whole one."""
+    p = checkpoint(plan(sizes))
+    if p.count() <= MOST_SENT:
+        return rows.join(F.broadcast(p), "src")
+    salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"]).drop("salt")
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, text, source).
 
@@ -90,7 +102,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     place = _place()
     once = F.when(place == -1, F.col("size")).when(place == 0, F.col("cut_words")).otherwise(0)
     taken = F.col("epochs") * F.col("size") + once
-    return sizes.join(plan(sizes), "src").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return _planned(sizes, sizes).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
@@ -99,7 +111,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     The copy at a source's cut ends after its last taken word; n_chars follows the text where there is such a column."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _source().alias("src"), _key().alias("key"), n_words().alias("size"))
     sizes = checkpoint(rows.select("src", "key", "size"))
-    joined = rows.join(plan(sizes), "src").withColumn("place", _place())
+    joined = _planned(rows, sizes).withColumn("place", _place())
     copies = F.array_repeat(F.lit(-1).cast("long"), (F.col("epochs") + F.when(F.col("place") == -1, 1).otherwise(0)).cast("int"))
     part = F.when((F.col("place") == 0) & (F.col("cut_words") > 0), F.array("cut_words")).otherwise(F.array().cast("array<long>"))
     out = joined.where("size > 0").select("row", F.explode(F.concat(copies, part)).alias("words"))
