@@ -25,15 +25,14 @@ def _repeated(words: Column) -> Column:
     Runs are hashed; a hash with its place in the low bits makes one long, and a sort brings equal runs together. A place
     takes as many bits as the array's size needs, the hash the rest (49 at 20,000 words)."""
     n = F.size(words)
+    run = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
-    def of(size: Column, bits: Column) -> Column:
-        mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-        run = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        packed = F.transform(F.sequence(F.lit(0), size - 3), lambda i: run(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")))
+    def of(mask: Column, top: Column) -> Column:
+        packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: run(i).bitwiseAND(top).bitwiseOR(i))
 
         def marks(s: Column) -> Column:
             # two packed longs hold equal hashes if they differ in the place bits alone
-            same = lambda i, x: F.coalesce(F.get(s, i).bitwiseXOR(x).between(0, mask), F.lit(False))
+            same = lambda i, x: F.coalesce(F.get(s, i).bitwiseXOR(x).bitwiseAND(top) == 0, F.lit(False))
             found = F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x))
             return let(F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))), covered)
 
@@ -42,26 +41,33 @@ def _repeated(words: Column) -> Column:
     def covered(places: Column) -> Column:
         return F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    bits = F.ceil(F.log2(n + 1)).cast("int")
-    return F.when(n >= 4, of(n, bits)).otherwise(0).cast("long")
+    # bound once, as lambdas work out all that they name for each element
+    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1)).cast("int")) - 1
+    return F.when(n >= 4, let(bits, lambda mask: let(F.bitwise_not(mask), lambda top: of(mask, top)))).otherwise(0).cast("long")
 
 
 def measures(text: Column) -> Column:
     """A struct of all that base and rules need of a text."""
     text = F.coalesce(text, F.lit(""))
 
-    def from_words(words: Column) -> Column:
-        lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
-        solid = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+    solid = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+
+    def count(x: Column, pattern: str) -> Column:
+        return F.regexp_count(x, F.lit(pattern)).cast("long")
+
+    def of(words: Column, solid: Column, lines: Column) -> Column:
         return F.struct(
-            F.size(words).cast("long").alias("n_words"), F.length(solid).cast("long").alias("word_chars"), F.regexp_count(solid, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), _repeated(words).alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
-            F.regexp_count(solid, F.lit("[A-Z]")).cast("long").alias("n_upper"), F.regexp_count(solid, F.lit("!")).cast("long").alias("n_bangs"), F.regexp_count(solid, F.lit("[0-9]")).cast("long").alias("n_digits"),
-            F.size(F.filter(words, lambda w: w.rlike(f"^(?:{STOPS})$"))).cast("long").alias("n_stops"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+            F.size(words).cast("long").alias("n_words"), F.length(solid).cast("long").alias("word_chars"), count(solid, SYMBOLS).alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), _repeated(words).alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
+            count(solid, "[A-Z]").alias("n_upper"), count(solid, "!").alias("n_bangs"), count(solid, "[0-9]").alias("n_digits"),
+            F.size(F.filter(words, lambda w: w.isin(STOPS.split("|")))).cast("long").alias("n_stops"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
             F.size(F.filter(lines, lambda x: x.rlike(r"[.!?:\")][\x20\x09-\x0D]*$"))).cast("long").alias("n_ended"),
         )
 
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), from_words)
+    # each is worked out once: lambdas share nothing that they only name
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return let(words, lambda w: let(solid, lambda x: let(lines, lambda y: of(w, x, y))))
 
 
 def _rule(good: Column, bad: Column) -> Column:
