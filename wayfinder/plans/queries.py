@@ -25,7 +25,7 @@ def query(sql: str | None = None, *views: str):  # noqa: ANN201
     """Registers a query under its function's name; the function gets views by name. sql is its body over views."""
 
     def add(f):  # noqa: ANN001, ANN202
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(_Views(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Views(spark, sf_dir))
         QUERIES[f.__name__].__name__ = f.__name__
         if sql is not None:
             ORACLES[f.__name__] = with_views(sql, *views)
@@ -34,7 +34,7 @@ def query(sql: str | None = None, *views: str):  # noqa: ANN201
     return add
 
 
-class _Views:
+class Views:
     """The views by name. The edges, which SQL takes from all pairs of points, come from the nearest-neighbour join here."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
@@ -64,13 +64,13 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("double") for n in names})
 
 
-def rings(v: _Views) -> DataFrame:
+def rings(v: Views) -> DataFrame:
     """(poly_id, ring) of the square obstacles."""
     p = lambda a, b: F.struct((F.col("cx") + a * F.col("h")).cast("double").alias("x"), (F.col("cy") + b * F.col("h")).cast("double").alias("y"))
     return v.obst.select("poly_id", F.array(p(-1, -1), p(1, -1), p(1, 1), p(-1, 1)).alias("ring"))
 
 
-def undirected_segments(v: _Views) -> DataFrame:
+def undirected_segments(v: Views) -> DataFrame:
     """(id, a, b, ax, ay, bx, by) of the edges, each once."""
     p = v.pts
     e = graph.undirected(v.edges.select("src", "dst", "w"))
@@ -234,7 +234,7 @@ def density_outliers(v):
 # scalar geometry
 
 
-def segments(v: _Views) -> DataFrame:
+def segments(v: Views) -> DataFrame:
     return doubles(v.segs, "ax", "ay", "bx", "by").withColumns({"a": G.point("ax", "ay"), "b": G.point("bx", "by")})
 
 
@@ -370,7 +370,7 @@ def edge_near_obstacle(v):
 # layers and features
 
 
-def geojson(v: _Views) -> DataFrame:
+def geojson(v: Views) -> DataFrame:
     """(layer, json): obstacles as polygons with a hole, routes as lines, points, in layers by their role."""
     text = lambda *parts: F.concat(*[F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in parts])
     c = {"l": F.col("cx") - F.col("h"), "r": F.col("cx") + F.col("h"), "t": F.col("cy") + F.col("h"), "b": F.col("cy") - F.col("h"), "cx1": F.col("cx") + 1, "cy1": F.col("cy") + 1}
@@ -535,7 +535,7 @@ def polyline_edges(v):
 _COMP = groups("SELECT id, id FROM pts", "pairs")
 
 
-def _pairs(v: _Views) -> DataFrame:
+def _pairs(v: Views) -> DataFrame:
     return joins.radius_join(v.pts, v.pts, 250.0).select(F.col("id").alias("src"), F.col("other").alias("dst"), F.sqrt("d2").alias("w"))
 
 
@@ -613,7 +613,7 @@ def bidirectional_astar_path(v):
     return search.bidirectional_paths(v.edges, v.asked, search.euclidean_ahead(v.pts, 100.0)).select(*_PICK)
 
 
-def _marks(v: _Views) -> DataFrame:
+def _marks(v: Views) -> DataFrame:
     return search.landmark_distances(v.edges, search.select_landmarks(v.pts))
 
 
@@ -693,7 +693,7 @@ _ON = """seg AS (SELECT query_id, seq, x AS ax, y AS ay, lead(x) OVER w AS bx, l
 _LAST = "last_at AS (SELECT route_id AS query_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY ts DESC, event_id DESC) AS n FROM positions) WHERE n = 1)"
 
 
-def _last(v: _Views) -> DataFrame:
+def _last(v: Views) -> DataFrame:
     return live.latest(v.positions).select(F.col("route_id").alias("query_id"), "x", "y")
 
 
@@ -738,7 +738,7 @@ def substring_index(v):
     return labels.substring_index(v.label_in.select("name"))
 
 
-def _typed(v: _Views) -> DataFrame:
+def _typed(v: Views) -> DataFrame:
     return v.spark.createDataFrame([(" A",), ("re",), ("Blue ",), ("zz",), ("m",)], "q string")
 
 
@@ -771,7 +771,7 @@ def label_route_endpoints(v):
 # streams
 
 
-def _stream(v: _Views) -> DataFrame:
+def _stream(v: Views) -> DataFrame:
     s = live.as_stream(v.spark, v.sf_dir, "events")
     return s.select("event_id", F.col("user_id").alias("route_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"), F.get_json_object("props", "$.k").cast("double").alias("y"), "event_type")
 
