@@ -15,7 +15,7 @@ SHARED = {
     "obst_edges": "SELECT poly_id, i, cx+ax*h AS ax, cy+ay*h AS ay, cx+bx*h AS bx, cy+by_*h AS by FROM obst CROSS JOIN (VALUES (0,-1,-1,1,-1),(1,1,-1,1,1),(2,1,1,-1,1),(3,-1,1,-1,-1)) AS v(i,ax,ay,bx,by_)",
     # a route of five vertices per user, small obstacles along it, and two ends
     "routes": "SELECT u.user_id AS query_id, v.i AS seq, CAST((u.user_id*37+v.i*97)%400 AS DOUBLE) AS x, CAST((u.user_id*53+v.i*61)%100 AS DOUBLE) AS y FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (VALUES (0),(1),(2),(3),(4)) AS v(i)",
-    "fences": "SELECT s_suppkey AS poly_id, v.i, CAST((s_suppkey*37)%400+ax*3 AS DOUBLE) AS ax, CAST((s_suppkey*53)%100+ay*3 AS DOUBLE) AS ay, CAST((s_suppkey*37)%400+bx*3 AS DOUBLE) AS bx, CAST((s_suppkey*53)%100+by_*3 AS DOUBLE) AS by FROM supplier CROSS JOIN (VALUES (0,-1,-1,1,-1),(1,1,-1,1,1),(2,1,1,-1,1),(3,-1,1,-1,-1)) AS v(i,ax,ay,bx,by_) WHERE s_suppkey < 100",
+    "fences": "SELECT s_suppkey AS poly_id, v.i, CAST((s_suppkey*37)%400+ax*3 AS DOUBLE) AS ax, CAST((s_suppkey*53)%100+ay*3 AS DOUBLE) AS ay, CAST((s_suppkey*37)%400+bx*3 AS DOUBLE) AS bx, CAST((s_suppkey*53)%100+by_*3 AS DOUBLE) AS by FROM supplier CROSS JOIN (VALUES (0,-1,-1,1,-1),(1,1,-1,1,1),(2,1,1,-1,1),(3,-1,1,-1,-1)) AS v(i,ax,ay,bx,by_)",
     "starts": "SELECT DISTINCT user_id AS query_id, CAST((user_id*41)%400 AS DOUBLE) AS x, CAST((user_id*43)%100 AS DOUBLE) AS y FROM events",
     "goals": "SELECT DISTINCT user_id AS query_id, CAST((user_id*29+150)%400 AS DOUBLE) AS x, CAST((user_id*31+50)%100 AS DOUBLE) AS y FROM events",
     # place names with a position
@@ -30,7 +30,7 @@ SHARED = {
     "near": "SELECT id, other, d2, rank FROM (SELECT a.id, b.id AS other, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.id) AS rank FROM pts a JOIN pts b ON a.id <> b.id) q WHERE rank <= 8",
     "edges": "SELECT DISTINCT src, dst, w FROM (SELECT id AS src, other AS dst, CAST(ceil(sqrt(d2)*100) AS BIGINT) AS w FROM near UNION ALL SELECT other, id, CAST(ceil(sqrt(d2)*100) AS BIGINT) FROM near) q",
     "pairs": "SELECT a.id AS src, b.id AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.x-b.x) <= 250 AND abs(a.y-b.y) <= 250 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 62500",
-    "asked": "SELECT s_suppkey AS query_id, s_suppkey AS source, (s_suppkey*13+7)%150 AS target FROM supplier WHERE s_suppkey < 10",
+    "asked": "SELECT s_suppkey AS query_id, s_suppkey AS source, (s_suppkey*7919+7)%(SELECT count(*) FROM customer) AS target FROM supplier",
 }
 SPARK = SHARED | {
     "positions": "SELECT event_id, user_id AS route_id, CAST(ts AS TIMESTAMP) AS ts, value AS x, CAST(get_json_object(props, '$.k') AS DOUBLE) AS y FROM events",

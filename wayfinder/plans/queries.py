@@ -133,11 +133,11 @@ def box_match(v):
 
 @query(
     """SELECT id, other, exact FROM (SELECT q.id, p.id AS other, q.s = 0 AS exact, row_number() OVER (PARTITION BY q.id ORDER BY (q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y), p.id) AS k
-    FROM (SELECT id, x + (id % 3) * 0.25 AS x, y AS y, id % 3 AS s FROM pts WHERE id % 10 = 0) q CROSS JOIN pts p) WHERE k = 1""",
+    FROM (SELECT id, x + (id % 3) * 0.25 AS x, y AS y, id % 3 AS s FROM pts) q CROSS JOIN pts p) WHERE k = 1""",
     "pts",
 )
 def rounded_match(v):
-    q = v.pts.where("id % 10 = 0").select("id", (F.col("x") + (F.col("id") % 3) * 0.25).alias("x"), "y")
+    q = v.pts.select("id", (F.col("x") + (F.col("id") % 3) * 0.25).alias("x"), "y")
     return joins.rounded_match(q, v.pts)
 
 
@@ -561,9 +561,17 @@ def prune_graph(v):
     return graph.subgraph(g, graph.largest_component(v.pts, e)).edges.select("src", "dst", "d2")
 
 
-@query("SELECT src, dst, w FROM edges WHERE src % 2 = 0 AND dst % 2 = 0", "edges")
+_BUSY = "busy AS MATERIALIZED (SELECT src AS id FROM edges GROUP BY src HAVING count(*) > 8)"
+
+
+def _busy(v: Views) -> DataFrame:
+    """The nodes with more than eight neighbours."""
+    return graph.degrees(v.edges).where("degree > 8").select(F.col("src").alias("id"))
+
+
+@query(f"{_BUSY} SELECT src, dst, w FROM edges WHERE src IN (SELECT id FROM busy) AND dst IN (SELECT id FROM busy)", "edges")
 def subgraph(v):
-    return graph.subgraph(graph.SpatialGraph(v.pts, v.edges), v.pts.where("id % 2 = 0").select("id")).edges.select("src", "dst", "w")
+    return graph.subgraph(graph.SpatialGraph(v.pts, v.edges), _busy(v)).edges.select("src", "dst", "w")
 
 
 @query("SELECT (SELECT count(DISTINCT src) FROM edges) AS first_nodes, (SELECT count(*) // 2 FROM edges) AS first_edges, (SELECT count(DISTINCT src) FROM spg) AS second_nodes, (SELECT count(*) FROM spg1) AS second_edges, round((SELECT count(*) FROM spg1) / (SELECT count(*) // 2 FROM edges), 6) AS edge_ratio", "edges", "spg")
@@ -756,16 +764,16 @@ def contains_search(v):
 
 
 @query(
-    f"""{_LABELLED}, hit AS (SELECT lab.name, lab.rank, min(q.id) AS node FROM lab JOIN pts p ON p.id = lab.node JOIN pts q ON abs(q.x-p.x) < 5 AND abs(q.y-p.y) < 5 WHERE (lab.node + lab.rank) % 3 <> 0 GROUP BY 1, 2),
+    f"""{_LABELLED}, {_BUSY}, hit AS (SELECT lab.name, lab.rank, min(q.id) AS node FROM lab JOIN pts p ON p.id = lab.node JOIN (SELECT * FROM pts WHERE id IN (SELECT id FROM busy)) q ON abs(q.x-p.x) < 5 AND abs(q.y-p.y) < 5 GROUP BY 1, 2),
     both_ends AS (SELECT a.name AS a, b.name AS b, a.rank, a.node AS source, b.node AS target, row_number() OVER (PARTITION BY a.name, b.name ORDER BY a.rank) AS k FROM hit a JOIN hit b ON a.rank = b.rank AND a.name < b.name)
     SELECT a, b, CAST(rank AS INTEGER) AS rank, source, target FROM both_ends WHERE k = 1""",
-    "label_in", "pts",
+    "label_in", "pts", "edges",
 )
 def label_route_endpoints(v):
-    p = labels.label_points(v.label_in, v.pts).where("(node + rank) % 3 <> 0").join(v.pts.select(F.col("id").alias("node"), "x", "y"), "node")
+    p = labels.label_points(v.label_in, v.pts).join(v.pts.select(F.col("id").alias("node"), "x", "y"), "node")
     n = v.label_in.select("name")
     pairs = n.select(F.col("name").alias("a")).join(n.select(F.col("name").alias("b")), F.col("a") < F.col("b"))
-    return labels.route_ends(pairs, p.select("name", "rank", "x", "y"), p, v.pts)
+    return labels.route_ends(pairs, p.select("name", "rank", "x", "y"), p, v.pts.join(_busy(v), "id", "left_semi"))
 
 
 # streams
