@@ -764,9 +764,10 @@ def contains_search(v):
 
 
 @query(
-    f"""{_LABELLED}, {_BUSY}, hit AS (SELECT lab.name, lab.rank, min(q.id) AS node FROM lab JOIN pts p ON p.id = lab.node JOIN (SELECT * FROM pts WHERE id IN (SELECT id FROM busy)) q ON abs(q.x-p.x) < 5 AND abs(q.y-p.y) < 5 GROUP BY 1, 2),
-    both_ends AS (SELECT a.name AS a, b.name AS b, a.rank, a.node AS source, b.node AS target, row_number() OVER (PARTITION BY a.name, b.name ORDER BY a.rank) AS k FROM hit a JOIN hit b ON a.rank = b.rank AND a.name < b.name)
-    SELECT a, b, CAST(rank AS INTEGER) AS rank, source, target FROM both_ends WHERE k = 1""",
+    f"""{_LABELLED}, {_BUSY}, free AS MATERIALIZED (SELECT p.id, p.x, p.y FROM pts p JOIN busy b ON b.id = p.id), placed AS MATERIALIZED (SELECT lab.name, lab.rank, p.x, p.y FROM lab JOIN pts p ON p.id = lab.node),
+    hit AS MATERIALIZED (SELECT l.name, l.rank, min(q.id) AS node FROM placed l JOIN free q ON abs(q.x-l.x) < 5 AND abs(q.y-l.y) < 5 GROUP BY 1, 2),
+    both_ends AS (SELECT a.name AS a, b.name AS b, a.rank, a.node AS source, b.node AS target FROM hit a JOIN hit b ON a.rank = b.rank AND a.name < b.name)
+    SELECT a, b, CAST(min(rank) AS INTEGER) AS rank, arg_min(source, rank) AS source, arg_min(target, rank) AS target FROM both_ends GROUP BY a, b""",
     "label_in", "pts", "edges",
 )
 def label_route_endpoints(v):
