@@ -31,6 +31,8 @@ SLOTS = BANDS * ROWS
 LEAST_ALIKE = 0.6
 #: Members of a bucket, or of a star, that one group of a block comparison takes from each side.
 BLOCK = 256
+#: Rows of three or four numbers that may go to all tasks.
+MOST_SENT = 500_000
 EMPTY = U(2**64 - 1)
 
 
@@ -214,6 +216,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
+def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows(doc_id, ...) with the documents' texts. Rows that a count shows to be few go to all tasks, so that only the texts
+    that are asked for move; else both sides are shuffled by doc_id."""
+    rows = checkpoint(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(rows) if rows.count() <= MOST_SENT else rows, "doc_id")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a similarity of 0.75 or more.
 
@@ -221,7 +231,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     counts = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / BLOCK).cast("int"))
     partners = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
     stars = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-    rows = partners.union(stars).join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").select("a", "salt", "role", "doc_id", "text")
+    rows = _with_texts(partners.union(stars), docs).select("a", "salt", "role", "doc_id", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return dealt.mapInArrow(_confirm, "a long, b long")
 
@@ -291,6 +301,5 @@ def _left_over(bucket: DataFrame, solo: DataFrame, docs: DataFrame, roots: DataF
     sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("size"))
     most = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"))
     rows = rows.join(most, "cluster").select("cluster", "doc_id", "root", (F.col("root") != F.col("main")).alias("out"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = _blocks(rows, "cluster").join(texts, "doc_id").select("grp", "side", "doc_id", "root", "text")
+    dealt = _with_texts(_blocks(rows, "cluster").select("grp", "side", "doc_id", "root"), docs).select("grp", "side", "doc_id", "root", "text")
     return dealt.repartition("grp").sortWithinPartitions("grp", F.col("side").desc()).mapInArrow(_meet, "a long, b long")
