@@ -510,6 +510,20 @@ def test_pseudo_likelihood_learns_both_sides(spark):
     assert mean > lm_score.pseudo_likelihood(uniform).first().mean_log_likelihood + 0.3
 
 
+def test_words_without_an_id_have_their_own_probability(spark, monkeypatch):
+    """Two words of one hash id, one 40 times as frequent, differ by the ln of their smoothed counts; also by the join."""
+    same = defaultdict(list)
+    for k in range(5000):
+        same[int(word_hashes([f"v{k}"])[0][0] % np.uint64(lm_score.HASHED))].append(f"v{k}")
+    often, once = next(x for x in same.values() if len(x) > 1)[:2]
+    rows = [(k, often) for k in range(40)] + [(40, once)] + [(41 + k, " ".join(f"top{j}" for j in range(lm_score.OWN))) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (1 << 18, 3, 0):
+        monkeypatch.setattr(lm_score, "SENT", most)
+        got = {r.doc_id: r.log_likelihood for r in lm_score.pseudo_likelihood(df).collect()}
+        assert len(got) == len(rows) and abs(got[0] - got[40] - np.log(40.5 / 1.5)) < 1e-4
+
+
 def test_network_equals_a_plain_loop():
     r = np.random.default_rng(0)
     p = {k: v.astype(float) for k, v in lm_score.start(r.integers(0, 50, lm_score.IDS).astype(float)).items()}

@@ -4,8 +4,9 @@ Words, A-Z lower-cased, are counted over the whole corpus; the most frequent one
 HASHED ids by hash. The network embeds the four neighbours, has one hidden layer, and predicts an id in two steps, its
 class and its place in the class, so a word costs 2 * 32 outputs and not 1,024. Every partition trains on all its words
 from the same start, whose output biases are the corpus' frequencies; the mean of the partitions' networks, weighted by
-their words and summed by a distributed aggregation, is the model. The sum of the words' conditional log-probabilities
-scores a document."""
+their words and summed by a distributed aggregation, is the model. A word without an id of its own has the probability of
+its hash id times its own share of that id's words, from the counts of all words: those of up to SENT frequent words go to
+every task, the others' are joined. The sum of the words' conditional log-probabilities scores a document."""
 
 from __future__ import annotations
 
@@ -13,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, slices
-from .hashing import U, word_hashes
+from .hashing import U, mix, word_hashes
 
 CLASSES = PLACES = 32
 IDS = CLASSES * PLACES
@@ -29,6 +31,10 @@ WIDTH, HIDDEN = 16, 32
 #: Words of a step of training; the first steps are short, so that few words teach something too.
 STEP_WORDS, FIRST_STEP = 8192, 256
 RATE = 0.01
+#: Words whose counts go to every task; the counts of all others are joined.
+SENT = 1 << 18
+#: What is added to every word's count; an unseen word of each hash id has as much.
+MORE = 0.5
 SHAPES = {"embed": (IDS + 1, WIDTH), "w1": (len(REACH) * WIDTH, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wm": (CLASSES, HIDDEN, PLACES), "bm": (CLASSES, PLACES)}
 
 
@@ -62,18 +68,36 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes with an id of their own, sorted, and their ids; and how often each id occurs. At most IDS rows come back."""
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes with an id of their own, sorted, and their ids; how often each id occurs; and ln of the smoothed number of
+    words that share each hash id. At most IDS rows come back."""
     own = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(OWN).collect()]
     words = np.array([w for w, _ in own], np.int64).astype(U)
     order = np.argsort(words)
-    rest = counts.groupBy(F.pmod("word", F.lit(HASHED)).alias("id")).agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(IDS)
+    rest = counts.groupBy(F.pmod("word", F.lit(HASHED)).alias("id")).agg(F.sum("n").alias("n"), F.count("*").alias("names")).collect()
+    n, names = np.zeros(IDS), np.zeros(HASHED)
     n[: len(own)] = [c for _, c in own]
     for r in rest:
-        n[OWN + r.id] = r.n
-    np.subtract.at(n, OWN + (words % U(HASHED)).astype(np.int64), n[: len(own)])
-    return words[order], order, n
+        n[OWN + r.id], names[r.id] = r.n, r.names
+    at = (words % U(HASHED)).astype(np.int64)
+    np.subtract.at(n, OWN + at, n[: len(own)])
+    np.subtract.at(names, at, 1)
+    return words[order], order, n, np.log(n[OWN:] + MORE * (names + 1))
+
+
+def sent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The hashes of the words that occur at least `least` times, sorted, and their counts; and `least`, with which they are
+    SENT at most."""
+    least, held = 1 << 62, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += r["count"]
+        if held > SENT:
+            break
+        least = r.n
+    got = counts.where(F.col("n") >= least).toArrow()
+    word, n = got["word"].to_numpy().astype(U), got["n"].to_numpy()
+    order = np.argsort(word)
+    return word[order], n[order], least
 
 
 def ids(texts: list[str], words: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +212,15 @@ def _train(p0: dict[str, np.ndarray], words: np.ndarray, own: np.ndarray):
     return run
 
 
-def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """The network, and the words with ids of their own; what returns to the driver has the network's size."""
+Model = tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model: the network, the words with ids of their own, their ids, ln of the words of each hash id, and the words
+    and counts that are sent to every task; and (word, n) of the words that aren't and occur more than once."""
     counts = checkpoint(word_counts(docs))
-    words, own, n = frequent(counts)
+    words, own, n, shared = frequent(counts)
+    names, times, least = sent(counts)
     p = start(n)
     sums = docs.select("text").mapInArrow(_train(p, words, own), "at int, value double, seen double").groupBy("at").agg((F.sum("value") / F.sum("seen")).alias("value"))
     got = sums.toPandas().sort_values("at")
@@ -200,24 +229,46 @@ def train(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
         for k, shape in SHAPES.items():
             p[k] = flat[a : a + int(np.prod(shape))].reshape(shape)
             a += int(np.prod(shape))
-    return p, words, own
+    return (p, words, own, shared, names, times), counts.where((F.col("n") < least) & (F.col("n") > 1))
 
 
-def scores(texts: list[str], model: tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text, its words and the sum of their log-probabilities, 0 without words."""
-    p, words, own = model
+def scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text, its words and the sum of their log-probabilities, 0 without words; and (text, word, times) of the words
+    whose counts aren't at hand, for which ln(count + MORE) is still to be added."""
+    p, words, own, shared, names, times = model
+    hashed, _ = word_hashes(texts)
     tokens, bounds = ids(texts, words, own)
     around = neighbours(tokens, bounds)
     logs = np.concatenate([np.zeros(1), *(log_probabilities(p, tokens[a : a + STEP_WORDS], around[a : a + STEP_WORDS]) for a in range(0, len(tokens), STEP_WORDS))])
+    logs = logs.astype(float)
+    rare = np.flatnonzero(tokens >= OWN)
+    word, inverse = np.unique(hashed[rare], return_inverse=True)
+    at = np.minimum(np.searchsorted(names, word), max(len(names) - 1, 0))
+    there = names[at] == word if len(names) else np.zeros(len(word), bool)
+    known = np.zeros(len(word))
+    known[there] = np.log(times[at[there]] + MORE)
+    logs[rare + 1] += known[inverse] - shared[tokens[rare] - OWN]
     sums = np.add.reduceat(np.append(logs[1:], 0.0), np.minimum(bounds[:-1], len(tokens))) * (np.diff(bounds) > 0)
-    return np.diff(bounds), sums
+    asked = ~there[inverse]
+    text, which = np.searchsorted(bounds, rare[asked], "right") - 1, inverse[asked]
+    pair, n = np.unique(text * max(len(word), 1) + which, return_counts=True)
+    return np.diff(bounds), sums, (pair // max(len(word), 1), word[pair % max(len(word), 1)] if len(word) else word, n)
 
 
-def _score(model: tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]):
+def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for part, texts in slices(batches):
-            n, sums = scores(texts, model)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(sums.astype(float))], ["doc_id", "n_tokens", "log_likelihood"])
+            n, sums, (text, word, times) = scores(texts, model)
+            rows, none = np.arange(row, row + len(texts)), np.zeros(len(text), np.int64)
+            row += len(texts)
+            # a document's own row asks for no word: a hash of its number deals it to any task
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([rows, rows[text]])), pa.concat_arrays([part.column(0).cast(pa.int64()), pa.nulls(len(text), pa.int64())]), pa.array(np.concatenate([n.astype(np.int64), none])),
+                    pa.array(np.concatenate([sums.astype(float), none.astype(float)])), pa.array(np.concatenate([mix(rows.astype(U)), word]).astype(np.int64)), pa.array(np.concatenate([np.zeros(len(rows), np.int64), times])),
+                ], ["row", "doc_id", "n_tokens", "log_likelihood", "word", "times"],
+            )
 
     return run
 
@@ -227,6 +278,8 @@ def pseudo_likelihood(docs: DataFrame) -> DataFrame:
 
     Texts without words (null, empty, blank) have 0 tokens, likelihood 0 and no mean. Null ids stay null; repeated rows
     are counted and scored each; other columns are ignored; an empty table gives an empty result."""
-    model = train(docs)
-    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, n_tokens long, log_likelihood double")
+    model, counts = train(docs)
+    s = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "row long, doc_id long, n_tokens long, log_likelihood double, word long, times long")
+    s = s.join(counts, "word", "left").withColumn("own", F.col("times") * F.log(F.coalesce("n", F.lit(1)) + MORE))
+    s = s.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum(F.col("log_likelihood") + F.col("own")).alias("log_likelihood")).drop("row")
     return s.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
