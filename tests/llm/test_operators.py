@@ -389,6 +389,14 @@ def test_fingerprints_equal_brute_force(docs, texts):
         assert got[None if i == 1 else i] == brute_fingerprint(t or ""), i
 
 
+def test_near_copies_are_alike_on_both_sides_of_a_power_of_two(spark):
+    sizes = [(127, 128), (500, 510), (505, 515), (1000, 1020), (1015, 1035), (1030, 1050)]  # k-mers
+    rows = [(" ".join(words(a + 2, a, 10**6)), " ".join([*words(a + 2, a, 10**6), *words(b - a, b, 10**6)])) for a, b in sizes]
+    alike = fingerprints.likeness(fingerprints.fingerprint(F.col("x")), fingerprints.fingerprint(F.col("y")))
+    got = [r.r for r in spark.createDataFrame(rows, "x string, y string").select(alike.alias("r")).collect()]
+    assert min(got) > 0.8, dict(zip(sizes, got, strict=True))
+
+
 def test_next_rows_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 7)
     ids = random.Random(4).sample(range(-10**12, 10**12), 200)

@@ -1,7 +1,8 @@
 """Order MinHash fingerprints, in DataFrame expressions only.
 
 The k-mers of a text are its runs of K words, each with its occurrence number, so that repeats differ. A hash of both
-ranks them and deals them to SLOTS slots by its leading bits (one permutation instead of one for each slot). A slot
+ranks them and deals them to SLOTS slots by its leading bits (one permutation instead of one for each slot). What is
+hashed doesn't depend on the text's length; its low bits only give way to places for sorting. A slot
 selects its TAKEN least k-mers, puts them back in text order and hashes them as a tuple: equal slots mean equal k-mers in
 equal order. Likeness is the share of equal slots among those that either fingerprint fills."""
 
@@ -32,7 +33,8 @@ def fingerprint(text: Column) -> Column:
         n = F.greatest(F.size(words) - (K - 1), F.lit(1))
         # the low bits of a long that hold a place; bound once, as lambdas work out all that they name for each element
         bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1)).cast("int")) - 1
-        many = let(bits, lambda mask: let(F.bitwise_not(mask), lambda top: ranked(F.transform(F.sequence(F.lit(0), n - 1), lambda i: kmer(i).bitwiseAND(top).bitwiseOR(i)), n, mask, top, kmer)))
+        kmers = F.transform(F.sequence(F.lit(0), n - 1), kmer)
+        many = let(bits, lambda mask: let(F.bitwise_not(mask), lambda top: let(kmers, lambda k: ranked(F.transform(k, lambda x, i: x.bitwiseAND(top).bitwiseOR(i)), n, mask, top, lambda i: F.get(k, i)))))
         only = F.xxhash64(F.array_join(words, " "))
         few = let(F.lit(1).cast("long"), lambda mask: let(F.bitwise_not(mask), lambda top: ranked(F.array(only.bitwiseAND(top)), F.lit(1), mask, top, lambda i: only)))  # noqa: ARG005
         return F.when(F.size(words) >= K, many).when(F.size(words) > 0, few).otherwise(F.array().cast("array<bigint>"))
@@ -42,7 +44,7 @@ def fingerprint(text: Column) -> Column:
             # s: hash above place, sorted; a run of equal hashes is one k-mer, its members' numbers go from 0
             begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i - 1).bitwiseXOR(F.get(s, i)).bitwiseAND(top) != 0))
             numbers = let(begins, lambda b: F.flatten(F.transform(b, lambda r, j: F.sequence(F.lit(0), F.coalesce(F.get(b, j + 1), n) - r - 1))))
-            ranks = let(numbers, lambda k: F.transform(s, lambda x, i: F.xxhash64(x.bitwiseAND(top), F.get(k, i)).bitwiseAND(top).bitwiseOR(x.bitwiseAND(mask))))
+            ranks = let(numbers, lambda k: F.transform(s, lambda x, i: F.xxhash64(kmer(x.bitwiseAND(mask).cast("int")), F.get(k, i)).bitwiseAND(top).bitwiseOR(x.bitwiseAND(mask))))
             return let(F.sort_array(ranks), selected)
 
         def selected(r: Column) -> Column:
