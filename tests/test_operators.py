@@ -242,6 +242,26 @@ def test_searches_agree(spark, network):
     assert visited["astar"] < visited["dijkstra"] and visited["alt"] < visited["dijkstra"]
 
 
+def test_searches_beyond_one_task_give_the_same(spark, monkeypatch):
+    r = random.Random(3)
+    at = {i: (i % 6 + r.random() / 3, i // 6 + r.random() / 3) for i in range(36)}
+    ways = [(a, b, math.dist(at[a], at[b])) for a in at for b in at if a < b and math.dist(at[a], at[b]) < 1.2 and r.random() < 0.8] + [(100, 101, 1.0)]
+    edges = spark.createDataFrame([*ways, *[(b, a, w) for a, b, w in ways]], "src long, dst long, w double").cache()
+    nodes = spark.createDataFrame([(i, *p) for i, p in at.items()], "id long, x double, y double")
+    q = spark.createDataFrame([(0, 0, 35), (1, 30, 5), (2, 7, 7), (3, 0, 100), (4, 999, 0), (5, 0, 999), (6, 999, 999), (7, 0, 35), (7, 3, 9)], "query_id long, source long, target long")
+    marks = search.landmark_distances(edges, search.select_landmarks(nodes, 4)).cache()
+    runs = {"dijkstra": lambda: search.shortest_paths(edges, q), "astar": lambda: search.astar_paths(edges, nodes, q), "both_alt": lambda: search.bidirectional_paths(edges, q, search.landmark_ahead(marks))}
+    rows = lambda run: sorted((x.query_id, x.source, x.target, -1 if x.d is None else round(x.d, 9), x.path) for x in run().collect())
+    want = {k: rows(run) for k, run in runs.items()}
+    visited = sorted((x.query_id, x.source, x.visited) for x in runs["dijkstra"]().collect())
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    assert {k: rows(run) for k, run in runs.items()} == want
+    assert sorted((x.query_id, x.source, x.visited) for x in runs["dijkstra"]().collect()) == visited
+    still = [(a, b, 0.0) for a in range(4) for b in range(4) if a != b] + [(3, 4, 2.0), (4, 3, 2.0)]  # ways without length
+    x = search.shortest_paths(spark.createDataFrame(still, "src long, dst long, w double"), spark.createDataFrame([(0, 2, 4)], q.schema)).first()
+    assert (x.d, x.path) == (2.0, [2, 3, 4])
+
+
 def test_both_ways_of_sssp_agree(spark, network):
     _, _, edges = network
     rows = [(r.src, r.dst, r.w) for r in edges.collect()]

@@ -9,10 +9,11 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import squared
@@ -82,6 +83,19 @@ class _Adjacency:
 Ahead = Callable[[np.ndarray], Callable[[int], np.ndarray]]
 
 
+class _Table:
+    """Lower bounds made from a table, which is collected only for a search in one task, and only for that graph's nodes."""
+
+    def __init__(self, table: DataFrame, node: str, make: Callable[[pd.DataFrame], Ahead]) -> None:
+        self.table, self.node, self.make = table, node, make
+
+    def of(self, spark: SparkSession, names: np.ndarray) -> Ahead:
+        table = self.table
+        if table.limit(SMALL_EDGES + 1).count() > SMALL_EDGES:
+            table = table.join(spark.createDataFrame(pd.DataFrame({self.node: names})), self.node, "left_semi")
+        return self.make(table.toPandas())
+
+
 def _small(edges: DataFrame) -> _Adjacency | None:
     """The edges in arrays, if there are few enough."""
     if edges.limit(SMALL_EDGES + 1).count() > SMALL_EDGES:
@@ -142,10 +156,11 @@ def _least(df: DataFrame, old: bool = False) -> DataFrame:
     return df.groupBy("source", "node").agg(best, was, had).select("source", "node", "best.d", "best.prev", (F.col("had").isNull() | (F.col("best") < F.col("had"))).alias("better"))
 
 
-def _pairs(edges: DataFrame, queries: DataFrame, run_one: Callable[[_Adjacency, int, int], tuple[float | None, list[int], int]]) -> DataFrame:
+def _pairs(edges: DataFrame, queries: DataFrame, ahead: Ahead | None, search_by: Callable[[Ahead | None], Callable[[_Adjacency, int, int], tuple[float | None, list[int], int]]]) -> DataFrame:
     graph = _small(edges)
     if graph is None:
-        raise ValueError("too many edges for a search in one task; use sssp(distributed=True) and paths()")
+        return _far(edges, queries)
+    run_one = search_by(ahead.of(queries.sparkSession, graph.names) if isinstance(ahead, _Table) else ahead)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,6 +170,55 @@ def _pairs(edges: DataFrame, queries: DataFrame, run_one: Callable[[_Adjacency,
     return queries.select("query_id", "source", "target").mapInPandas(run, "query_id long, source long, target long, d double, path array<long>, visited long")
 
 
+def _far(edges: DataFrame, queries: DataFrame, steps: int = 3) -> DataFrame:
+    """_pairs by joins: one frontier holds all pairs of source and target, and what is no nearer than the best way to the
+    target so far goes no further. visited counts the nodes no further from the source than the target, or all reached.
+
+    z counts the steps without length that lead to a node, so that going back along prev never goes round."""
+    key = ["source", "target"]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), *[F.col(c).cast("long").alias(c) for c in key])
+    edges = checkpoint(edges.groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")))
+    names = edges.select(F.col("src").alias("source")).union(edges.select("dst")).distinct()
+    first = asked.where("source <> target").select(*key).distinct().join(names, "source", "left_semi").select(*key, F.col("source").alias("node"), F.lit(0.0).alias("d"), F.lit(0).alias("z"), F.lit(None).cast("long").alias("prev"))
+    order = F.struct("d", "z", F.coalesce("prev", F.lit(-(2**63)).cast("long")).alias("p"), "prev")
+    columns = [*key, "node", "best.d", "best.z", "best.prev"]
+    state = frontier = checkpoint(first)
+    while not frontier.isEmpty():
+        new = reached = frontier
+        for _ in range(steps):
+            d = F.col("d") + F.col("w")
+            new = new.join(edges, new["node"] == edges["src"]).select(*key, F.col("dst").alias("node"), d.alias("d"), F.when(d == F.col("d"), F.col("z") + 1).otherwise(0).alias("z"), F.col("node").alias("prev"))
+            new = new.groupBy(*key, "node").agg(F.min(order).alias("best")).select(*columns)
+            reached = reached.union(new)
+        both = state.withColumn("old", F.lit(True)).unionByName(reached.withColumn("old", F.lit(False)))
+        both = both.groupBy(*key, "node").agg(F.min(order).alias("best"), F.min(F.when(F.col("old"), order)).alias("had"))
+        merged = checkpoint(both.select(*columns, (F.col("had").isNull() | (F.col("best") < F.col("had"))).alias("better")))
+        state = merged.drop("better")
+        frontier = merged.where("better").drop("better").join(_goal(state), key, "left").where("goal IS NULL OR d < goal").drop("goal")
+
+    state = checkpoint(state.join(_goal(state), key, "left").where("goal IS NULL OR d <= goal"))
+    tree = state.select(*key, "node", "prev")
+    last = checkpoint(tree.where("node = target").withColumn("seq", F.lit(0)).select(*key, "seq", "node", "prev"))
+    trail, at = last, 0
+    while not last.where("prev IS NOT NULL").isEmpty():
+        step, more = last, None
+        for _ in range(steps):
+            step = step.select(*key, (F.col("seq") + 1).alias("seq"), F.col("prev").alias("node")).join(tree, [*key, "node"]).select(*key, "seq", "node", "prev")
+            more = step if more is None else more.union(step)
+        more, at = checkpoint(more), at + steps
+        trail, last = trail.union(more), more.where(F.col("seq") == at)
+    paths = trail.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("seq")).alias("seq"), "node"))), lambda x: x["node"]).alias("path"))
+    found = state.groupBy(*key).agg(F.min("goal").alias("d"), F.count("*").alias("visited")).join(paths, key, "left")
+    same = F.col("source") == F.col("target")
+    return asked.join(found, key, "left").select(
+        "query_id", *key, F.when(same, 0.0).otherwise(F.col("d")).alias("d"), F.when(same, F.array("source")).otherwise(F.col("path")).alias("path"), F.when(same, 1).otherwise(F.coalesce("visited", F.lit(0))).cast("long").alias("visited")
+    )
+
+
+def _goal(state: DataFrame) -> DataFrame:
+    return state.where("node = target").select("source", "target", F.col("d").alias("goal"))
+
+
 def _follow(graph: _Adjacency, found: dict[int, tuple[float, int]], end: int) -> list[int]:
     path = []
     while end >= 0:
@@ -174,11 +238,11 @@ def shortest_paths(edges: DataFrame, queries: DataFrame) -> DataFrame:
     return guided_paths(edges, queries, None)
 
 
-def guided_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | None) -> DataFrame:
+def guided_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | _Table | None) -> DataFrame:
     """Searches led by lower bounds of the rest, which must not exceed the distance; then the result is that of
     shortest_paths, with fewer nodes visited."""
 
-    def one(graph: _Adjacency, s: int, t: int) -> tuple[float | None, list[int] | None, int]:
+    def one(ahead: Ahead | None, graph: _Adjacency, s: int, t: int) -> tuple[float | None, list[int] | None, int]:
         end = _place(graph, t)
         if s == t:
             return 0.0, [s], 1
@@ -186,7 +250,7 @@ def guided_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | None) -> D
         found, visited = graph.search(s, target=end, ahead=rest)
         return (found[end][0], _follow(graph, found, end), visited) if end in found else (None, None, visited)
 
-    return _pairs(edges, queries, one)
+    return _pairs(edges, queries, ahead, lambda made: partial(one, made))
 
 
 def _aligned(names: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -199,16 +263,20 @@ def _aligned(names: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndar
     return out
 
 
-def euclidean_ahead(nodes: DataFrame, scale: float = 1.0) -> Ahead:
+def euclidean_ahead(nodes: DataFrame, scale: float = 1.0) -> _Table:
     """Straight-line distances times scale, less a billionth so that they stay below path lengths."""
-    p = nodes.select("id", F.col("x").cast("double"), F.col("y").cast("double")).toPandas().sort_values("id")
-    known, table = p["id"].to_numpy(np.int64), p[["x", "y"]].to_numpy(float)
 
-    def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
-        at = _aligned(names, known, table)
-        return lambda t: np.nan_to_num(scale * (1 - 1e-9) * np.hypot(*(at - at[t]).T))
+    def make(p: pd.DataFrame) -> Ahead:
+        p = p.sort_values("id")
+        known, table = p["id"].to_numpy(np.int64), p[["x", "y"]].to_numpy(float)
+
+        def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
+            at = _aligned(names, known, table)
+            return lambda t: np.nan_to_num(scale * (1 - 1e-9) * np.hypot(*(at - at[t]).T))
 
-    return of
+        return of
+
+    return _Table(nodes.select("id", F.col("x").cast("double"), F.col("y").cast("double")), "id", make)
 
 
 def astar_paths(edges: DataFrame, nodes: DataFrame, queries: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -221,24 +289,28 @@ def alt_paths(edges: DataFrame, queries: DataFrame, landmarks: DataFrame) -> Dat
     return guided_paths(edges, queries, landmark_ahead(landmarks))
 
 
-def landmark_ahead(landmarks: DataFrame) -> Ahead:
+def landmark_ahead(landmarks: DataFrame) -> _Table:
     """The greatest difference of distances to a landmark that both reach; 0 where there is none."""
-    p = landmarks.toPandas().pivot(index="node", columns="landmark", values="d")
-    known, table = p.index.to_numpy(np.int64), p.to_numpy(float)
 
-    def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
-        at = _aligned(names, known, table)
-        return lambda t: np.nan_to_num(np.abs(at - at[t]), nan=0.0).max(axis=1, initial=0.0)
+    def make(p: pd.DataFrame) -> Ahead:
+        p = p.pivot(index="node", columns="landmark", values="d")
+        known, table = p.index.to_numpy(np.int64), p.to_numpy(float)
+
+        def of(names: np.ndarray) -> Callable[[int], np.ndarray]:
+            at = _aligned(names, known, table)
+            return lambda t: np.nan_to_num(np.abs(at - at[t]), nan=0.0).max(axis=1, initial=0.0)
+
+        return of
 
-    return of
+    return _Table(landmarks, "node", make)
 
 
-def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | None = None) -> DataFrame:
+def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | _Table | None = None) -> DataFrame:
     """shortest_paths from both ends: the two searches take turns until their least keys add up to the best meeting.
 
     With a lower bound h, both use the consistent potential (h(v, t) - h(s, v)) / 2, one with each sign."""
 
-    def one(graph: _Adjacency, s: int, t: int) -> tuple[float | None, list[int] | None, int]:
+    def one(ahead: Ahead | None, graph: _Adjacency, s: int, t: int) -> tuple[float | None, list[int] | None, int]:
         a, b = _place(graph, s), _place(graph, t)
         if s == t:
             return 0.0, [s], 1
@@ -274,7 +346,7 @@ def bidirectional_paths(edges: DataFrame, queries: DataFrame, ahead: Ahead | Non
             return None, None, len(done[0]) + len(done[1])
         return top, _follow(graph, best[0], meet) + _follow(graph, best[1], meet)[::-1][1:], len(done[0]) + len(done[1])
 
-    return _pairs(edges, queries, one)
+    return _pairs(edges, queries, ahead, lambda made: partial(one, made))
 
 
 def perimeter(nodes: DataFrame, n: int = 16) -> DataFrame:
