@@ -362,25 +362,16 @@ def brute_fingerprint(t):
     if not w:
         return ""
     kmers = [over(42, *w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [over(42, " ".join(w))]
-    n = len(kmers)
-    import math
-
-    mask = (1 << math.ceil(math.log2(n + 1))) - 1
     seen, ranks = Counter(), []
-    for i in range(n):
-        top = signed(kmers[i]) & ~mask
-        h = over(42, (top % 2**64).to_bytes(8, "little"), seen[top].to_bytes(4, "little"))
-        ranks.append((signed(h) & ~mask) | i)
-        seen[top] += 1
-    slots = defaultdict(list)
-    for r in sorted(ranks):
-        slots[r >> 58].append(r & mask)
-    out = ""
-    for s in sorted(slots):
-        places = sorted(slots[s][:2])
+    for x in kmers:
+        ranks.append(over(42, x.to_bytes(8, "little"), seen[x].to_bytes(4, "little")))
+        seen[x] += 1
+    out = []
+    for s in range(64):
+        places = sorted(sorted(range(len(kmers)), key=lambda i: ranks[i] ^ s << 58)[:2])  # noqa: B023
         h = over(42, *[kmers[p].to_bytes(8, "little") for p in places])
-        out += f"{((s << 58) | (h & ((1 << 58) - 1))) % 2**64:016x}"
-    return out
+        out.append(f"{s << 58 | h & (1 << 58) - 1:016x}")
+    return "".join(out[32:] + out[:32])  # slots are signed numbers
 
 
 def test_fingerprints_equal_brute_force(docs, texts):
@@ -395,6 +386,19 @@ def test_near_copies_are_alike_on_both_sides_of_a_power_of_two(spark):
     alike = fingerprints.likeness(fingerprints.fingerprint(F.col("x")), fingerprints.fingerprint(F.col("y")))
     got = [r.r for r in spark.createDataFrame(rows, "x string, y string").select(alike.alias("r")).collect()]
     assert min(got) > 0.8, dict(zip(sizes, got, strict=True))
+    more = [(" ".join(words(n, n, 10**6)), " ".join([*words(n, n, 10**6), "more"])) for n in (129, 257, 513, 1025)]
+    got = [r.r for r in spark.createDataFrame(more, "x string, y string").select(alike.alias("r")).collect()]
+    assert min(got) >= 0.95, got
+
+
+def test_short_texts_fill_all_slots(spark):
+    """Likeness of texts of 40 words that share 30 of them at the end is near the share of their equal k-mers' pairs."""
+    rows = [(" ".join(words(40, k, 10**6)), " ".join([*words(10, 1000 + k, 10**6), *words(40, k, 10**6)[10:]])) for k in range(60)]
+    x, y = fingerprints.fingerprint(F.col("x")), fingerprints.fingerprint(F.col("y"))
+    got = spark.createDataFrame(rows, "x string, y string").select(fingerprints.likeness(x, y).alias("r"), F.size(x).alias("n")).collect()
+    assert {r.n for r in got} == {64}
+    jaccard = 28 / (38 + 10)
+    assert abs(np.mean([r.r for r in got]) - jaccard**2) < 0.08
 
 
 def test_next_rows_over_many_ranges(spark, monkeypatch):

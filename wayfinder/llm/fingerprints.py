@@ -1,10 +1,13 @@
 """Order MinHash fingerprints, in DataFrame expressions only.
 
-The k-mers of a text are its runs of K words, each with its occurrence number, so that repeats differ. A hash of both
-ranks them and deals them to SLOTS slots by its leading bits (one permutation instead of one for each slot). What is
-hashed doesn't depend on the text's length; its low bits only give way to places for sorting. A slot
-selects its TAKEN least k-mers, puts them back in text order and hashes them as a tuple: equal slots mean equal k-mers in
-equal order. Likeness is the share of equal slots among those that either fingerprint fills."""
+The k-mers of a text are its runs of K words, each with its occurrence number, so that repeats differ. A hash of both ranks
+them; every slot has a permutation of its own, the rank XOR the slot's number in the leading SLOT_BITS bits. A slot selects
+its TAKEN least k-mers, puts them back in text order and hashes them as a tuple: equal slots mean equal k-mers in equal
+order. Likeness is the share of equal slots.
+
+One sort serves all slots: a slot's least k-mers are those with its number in the rank's leading bits. Only where fewer than
+TAKEN have it are the others compared, of which the TAKEN least of each number are enough. What is hashed doesn't depend on
+the text's length; the low bits of ranks only give way to places for sorting."""
 
 from __future__ import annotations
 
@@ -22,9 +25,9 @@ RANGE_ROWS, MOST_RANGES = 4096, 65_536
 
 
 def fingerprint(text: Column) -> Column:
-    """Of each filled slot, in order, a long: the slot in its leading SLOT_BITS bits, then the hash of its tuple.
+    """Of each slot, in order, a long: the slot in its leading SLOT_BITS bits, then the hash of its tuple.
 
-    A text of fewer than K words is one k-mer; one without words fills no slot."""
+    A text of fewer than K words is one k-mer; one without words has no slots. A text of one k-mer has tuples of one."""
     shift = 64 - SLOT_BITS
     slot = lambda x: F.shiftright(x, shift)
 
@@ -52,16 +55,28 @@ def fingerprint(text: Column) -> Column:
 
         def tuples(m: Column) -> Column:
             at = lambda x: x.bitwiseAND(mask).cast("int")
+            low = F.lit((1 << shift) - 1).cast("long")
+
+            def tagged(s: Column, pair: Column) -> Column:
+                return F.call_function("shiftleft", s, F.lit(shift)).bitwiseOR(pair.bitwiseAND(low))
+
+            def pair(a: Column, b: Column) -> Column:
+                return F.xxhash64(kmer(F.least(at(a), at(b))), kmer(F.greatest(at(a), at(b))))
+
+            def full(x: Column, i: Column) -> Column:
+                # the first of a number's two
+                return F.when(slot(F.get(m, i + 1)) == slot(x), tagged(slot(x), pair(x, F.get(m, i + 1))))
+
+            def sparse(s: Column) -> Column:
+                # XOR with this gives k-mers of the slot's number the leading bits of the least longs
+                own = F.call_function("shiftleft", s.bitwiseXOR(F.lit(-(1 << SLOT_BITS - 1)).cast("long")), F.lit(shift))
+                return let(own, lambda o: let(F.transform(m, lambda x: x.bitwiseXOR(o)), lambda y: let(F.array_min(y), lambda a: let(F.array_min(F.filter(y, lambda x: x > a)), lambda b: tagged(s, F.when(b.isNull(), F.xxhash64(kmer(at(a)))).otherwise(pair(a, b)))))))
 
-            def one(x: Column, i: Column) -> Column:
-                after = F.get(m, i + 1)
-                a, b = at(x), at(after)
-                pair = F.when(slot(after) == slot(x), F.xxhash64(kmer(F.least(a, b)), kmer(F.greatest(a, b)))).otherwise(F.xxhash64(kmer(a)))
-                first = (i == 0) | (slot(F.get(m, i - 1)) != slot(x))
-                low = F.lit((1 << shift) - 1).cast("long")
-                return F.when(first, F.call_function("shiftleft", slot(x), F.lit(shift)).bitwiseOR(pair.bitwiseAND(low)))
+            def all_slots(f: Column) -> Column:
+                rest = F.array_except(F.lit(list(range(-(1 << SLOT_BITS - 1), 1 << SLOT_BITS - 1))).cast("array<bigint>"), F.transform(f, slot))
+                return F.sort_array(F.concat(f, F.transform(rest, sparse)))
 
-            return F.filter(F.transform(m, one), lambda x: x.isNotNull())
+            return let(F.filter(F.transform(m, full), lambda x: x.isNotNull()), all_slots)
 
         return let(F.sort_array(packed), numbered)
 
@@ -70,9 +85,8 @@ def fingerprint(text: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal slots, 0 to 1; two fingerprints without slots are alike."""
-    slots = lambda x: F.transform(x, lambda v: F.shiftright(v, 64 - SLOT_BITS))
-    filled = F.size(F.array_union(slots(a), slots(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(filled, F.lit(1)))
+    slots = F.greatest(F.size(a), F.size(b))
+    return F.when(slots == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(slots, F.lit(1)))
 
 
 def as_text(fp: Column) -> Column:
