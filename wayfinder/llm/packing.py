@@ -8,7 +8,6 @@ piece finds its bin from its rank among the pieces of its length."""
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +23,12 @@ CAPACITY = 2048
 #: Rank ranges of the pieces of one length.
 BUCKETS = 4096
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
-#: Latin letters that the tokenizer's normaliser turns into letters one by one, and a tail of ASCII marks.
-_PLAIN = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-/:-@\[-`{-~]*)")
+KEPT_WORDS = 1_000_000
+#: Text bytes that are encoded at once.
+TEXT_BYTES = 1 << 23
+#: Latin letters that the tokenizer's normaliser turns into letters one by one, and ASCII marks that may follow them.
+_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _tokenizers: dict[str, _Words] = {}
 
 
@@ -51,47 +53,41 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.size, self.words = 0, 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
-
-    def learn(self, words: list[str]) -> None:
-        """Ids of new words. Words of letters and at most a tail of marks go to the tokenizer as one text a chunk: each
-        of their one or two parts ends with the only token that has the suffix of word ends, which tells them apart."""
-        kinds = [_PLAIN.fullmatch(w) for w in words]
-        plain = [w for w, k in zip(words, kinds, strict=True) if k]
-        spaced = [f"{k[1]} {k[2]}" if k[2] else k[1] for k in kinds if k]
-        parts = np.array([1 + (" " in x) for x in spaced], np.int64)
-        for k in range(0, len(plain), 20_000):
-            chunk = plain[k : k + 20_000]
-            ids = np.array(self.encode_plain([" ".join(spaced[k : k + 20_000]).lower()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids])
-            last = np.cumsum(parts[k : k + 20_000])
-            if len(ends) == last[-1]:
-                self.add(chunk, ids, ends[last - 1] + 1)
-            else:
-                self.one_by_one(chunk)
-        self.one_by_one([w for w, k in zip(words, kinds, strict=True) if not k])
-
-    def one_by_one(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            chunk = words[k : k + 20_000]
-            found = [e.ids for e in self.encode_batch(chunk, add_special_tokens=False)]
-            self.add(chunk, np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found]))
-
-    def add(self, words: list[str], new: np.ndarray, ends: np.ndarray) -> None:
-        while len(self.ids) < self.size + len(new):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.begin) < self.words + len(words) + 1:
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.ids[self.size : self.size + len(new)] = new
-        self.begin[self.words + 1 : self.words + len(words) + 1] = self.size + ends
-        self.at.update(zip(words, range(self.words, self.words + len(words)), strict=True))
-        self.size, self.words = self.size + len(new), self.words + len(words)
+        """Knows the empty word alone."""
+        self.known = pa.array([""], pa.large_string())
+        self.ids, self.begin = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        """Ids of new words. Words of letters go to the tokenizer as one text a chunk: each ends with the only token that
+        has the suffix of word ends, which tells them apart."""
+        plain = pc.match_substring_regex(words, _LETTERS)
+        for some, encode in ((words.filter(plain), self.plain_ids), (words.filter(pc.invert(plain)), self.own_ids)):
+            for k in range(0, len(some), 20_000):
+                chunk = some.slice(k, 20_000)
+                ids, ends = encode(chunk.to_pylist())
+                self.begin = np.concatenate([self.begin, len(self.ids) + ends])
+                self.ids = np.concatenate([self.ids, ids])
+                self.known = pa.concat_arrays([self.known, chunk])
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.encode_plain([" ".join(words).lower()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, ends) if len(ends) == len(words) else self.own_ids(words)
+
+    def own_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([len(ids) for ids in found])
+
+    def places(self, words: pa.Array) -> pa.Array:
+        """Where the words' ids are, learning those that are new."""
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            self.learn(pc.unique(words.filter(at.is_null())))
+            at = pc.index_in(words, value_set=self.known)
+        return at
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.words > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS:
             self.clear()
         column = pa.array(texts, pa.large_string())
         if not any("<|" in t for t in texts):  # the tokenizer looks for its special tokens before it lower-cases
@@ -99,21 +95,35 @@ class _Words:
         split = pc.ascii_split_whitespace(column)
         bounds = split.offsets.to_numpy()
         coded = pc.dictionary_encode(split.flatten())
-        unique = coded.dictionary.to_pylist()
-        known = np.array([self.at.get(w, -1) for w in unique], np.int64)
-        new = np.flatnonzero(known < 0)
-        if len(new):
-            fresh = [unique[i] for i in new.tolist()]
-            self.learn(fresh)
-            known[new] = [self.at[w] for w in fresh]
-        word = known[coded.indices.to_numpy()] if unique else np.zeros(0, np.int64)
-        table = pa.LargeListArray.from_arrays(pa.array(self.begin[: self.words + 1]), pa.array(self.ids[: self.size]))
-        taken = table.take(pa.array(word))
+        unique = coded.dictionary
+        if not len(unique):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        # a word of letters and the marks after it are parts of their own to the tokenizer
+        bare = pc.ascii_rtrim(unique, characters=_MARKS)
+        plain = pc.match_substring_regex(bare, _LETTERS)
+        marks = _after(unique, bare, plain)
+        both = pa.concat_arrays([pc.if_else(plain, bare, unique), marks])
+        at = self.places(both).to_numpy(zero_copy_only=False).reshape(2, -1)
+        table = pa.LargeListArray.from_arrays(pa.array(self.begin), pa.array(self.ids))
+        pairs = table.take(pa.array(at.T.ravel()))
+        words = pa.LargeListArray.from_arrays(pa.array(pairs.offsets.to_numpy()[::2]), pairs.values)
+        taken = words.take(coded.indices)
         flat, ends = taken.values.to_numpy(), taken.offsets.to_numpy()
         at = ends[bounds - bounds[0]]
         return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
+def _after(words: pa.Array, heads: pa.Array, take: pa.Array) -> pa.Array:
+    """What follows heads[i] in words[i] where take[i], else ''."""
+    _, offsets, data = words.buffers()
+    begin = np.frombuffer(offsets, np.int64, len(words), words.offset * 8)
+    head = pc.binary_length(heads).to_numpy()
+    size = np.where(take.to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy() - head, 0)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(ends[-1]) + np.repeat(begin + head - ends[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends), pa.py_buffer(np.frombuffer(data, np.uint8)[at]))
+
+
 def encoder(path: str) -> _Words:
     if path not in _tokenizers:
         _tokenizers[path] = _Words(path)
@@ -122,7 +132,7 @@ def encoder(path: str) -> _Words:
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, most=1 << 21):
+        for part, texts in slices(batches, most=TEXT_BYTES):
             rows: list[tuple] = []
             for doc, ids in zip(part.column(0).to_pylist(), encoder(path).encode(texts), strict=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
