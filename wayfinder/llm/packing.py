@@ -226,17 +226,17 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
 
     A document is the ids of its text by the tokenizer file at `path`, without special tokens, and then end_id; a null
     text counts as empty and gives end_id alone. Documents of more than `capacity` ids are cut into pieces of that many,
-    the last may be shorter; others stay whole. Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
+    the last may be shorter; others stay whole. Reruns agree: pieces of equal id and number go by their ids' CRC. Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and
     ids with with_ids. Repeated rows are packed each for itself; null ids stay null; other columns are ignored; an empty
     table gives an empty result."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     pieces = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, capacity, end_id, with_ids), schema))
-    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     parts = checkpoint(pieces.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("length", "bucket", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = pieces.join(parts, ["length", "bucket"]).withColumn("rank", (F.col("before") + within - 1).cast("long"))
     cols = [c.split()[0] for c in schema.split(", ")]
     return ranked.select(*cols, "rank").mapInArrow(_place(*_slots(best_two_fit(counts, capacity))), schema + ", sequence_id long, offset long")

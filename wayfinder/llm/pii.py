@@ -100,7 +100,10 @@ def _votes(kind: str, m: Column, base: Column, before: Column, after: Column) ->
     else:
         form = F.lit(0) if kind == "local" else _yes(base)
     cue = F.when(before.rlike(f"(?i)(?:{CUES[kind]})"), 1).when(before.rlike(f"(?i)\\b(?:{AGAINST})[^A-Za-z]*$"), -1).otherwise(0)
-    edges = _yes(~F.substring(before, -1, 1).rlike("[A-Za-z0-9]") & ~after.rlike("[A-Za-z0-9]"))
+    if kind == "secret":  # a run always ends at other characters: what counts is an assignment or quotes
+        edges = F.when(before.rlike("[=:\"']$") | after.isin('"', "'"), 1).otherwise(0)
+    else:
+        edges = _yes(~F.substring(before, -1, 1).rlike("[A-Za-z0-9]") & ~after.rlike("[A-Za-z0-9]"))
     return [form, known, cue, shape, edges]
 
 
