@@ -7,6 +7,7 @@ posterior probability of being good decides, instead of all rules having to pass
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +20,47 @@ ROUNDS = 12
 STOPS = "the|of|and|to|in|is|that|it|for|as|was|with|be|on|by|der|die|und|das|den|von|zu|mit|sich|des|ist|le|la|les|de|et|un|une|que|en|du|est|pour|qui|el|los|las|y|del|se|por|con|su|para"
 
 
+def _hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def _repeated(words: Column) -> Column:
     """Words of an array that lie in a run of three words found twice or more in it, the first time included.
 
     Runs are hashed; a hash with its place in the low bits makes one long, and a sort brings equal runs together. A place
-    takes as many bits as the array's size needs, the hash the rest (49 at 20,000 words)."""
+    takes as many bits as the array's size needs, the hash the rest. Runs of equal hashes are compared word by word; should
+    some differ, the text's runs are sorted themselves, so counts are exact."""
     n = F.size(words)
-    run = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    at = lambda i: [F.get(words, i + k) for k in range(3)]
+
+    def covered(places: Column) -> Column:
+        return F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+
+    def exactly() -> Column:
+        runs = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", *at(i)).alias("run"), i.alias("at")))
+        same = lambda s, i, x: F.coalesce(F.get(s, i)["run"] == x["run"], F.lit(False))
+        found = lambda s: F.filter(s, lambda x, i: same(s, i - 1, x) | same(s, i + 1, x))
+        return let(F.sort_array(F.transform(let(F.sort_array(runs), found), lambda x: x["at"])), covered)
 
     def of(mask: Column, top: Column) -> Column:
-        packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: run(i).bitwiseAND(top).bitwiseOR(i))
+        packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: _hash(*at(i)).bitwiseAND(top).bitwiseOR(i))
+        place = lambda x: x.bitwiseAND(mask).cast("int")
 
         def marks(s: Column) -> Column:
             # two packed longs hold equal hashes if they differ in the place bits alone
             same = lambda i, x: F.coalesce(F.get(s, i).bitwiseXOR(x).bitwiseAND(top) == 0, F.lit(False))
-            found = F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x))
-            return let(F.sort_array(F.transform(found, lambda x: x.bitwiseAND(mask).cast("int"))), covered)
+            return let(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), counted)
 
-        return let(F.sort_array(packed), marks)
+        def counted(found: Column) -> Column:
+            def mistaken(x: Column, i: Column) -> Column:
+                before = F.get(found, i - 1)
+                differ = reduce(lambda a, b: a | b, [p != q for p, q in zip(at(place(x)), at(place(before)), strict=True)])
+                return (i > 0) & (before.bitwiseXOR(x).bitwiseAND(top) == 0) & differ
 
-    def covered(places: Column) -> Column:
-        return F.aggregate(F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+            wrong = F.exists(F.transform(found, mistaken), lambda x: x)
+            return F.when(wrong, exactly()).otherwise(let(F.sort_array(F.transform(found, place)), covered))
+
+        return let(F.sort_array(packed), marks)
 
     # bound once, as lambdas work out all that they name for each element
     bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(n + 1)).cast("int")) - 1
@@ -98,32 +119,36 @@ NAMES = ("symbols", "upper", "bangs", "digits", "length", "repeats", "lines", "s
 def learn(votes: DataFrame) -> tuple[float, dict[tuple[str, int, int], float]]:
     """The share of good documents, and the chance of each vote by a rule on bad (0) and good (1) documents, by EM.
 
-    The table of vote patterns and counts has at most 3^9 rows; a round brings one row of sums to the driver. EM begins with
-    a document's probability of being good falling with each bad vote, so that a kind of bad documents that one rule alone
-    sees isn't outvoted before it is known. A rule is never taken for worse than chance: a vote that would count against
-    what it says counts nothing."""
-    patterns = checkpoint(votes.groupBy(*NAMES).agg(F.count("*").cast("double").alias("n")).coalesce(1))
-    bad = sum((F.when(F.col(r) == -1, 1).otherwise(0) for r in NAMES), F.lit(0))
-    p = 0.95 * F.pow(F.lit(0.3), bad)
+    The table of vote patterns and counts, of at most 3^9 = 19,683 rows at any size of input, is what reaches the driver. EM
+    begins with a document's probability of being good falling with each bad vote, so that a kind of bad documents that one
+    rule alone sees isn't outvoted before it is known. A rule is never taken for worse than chance: a vote that would count
+    against what it says counts nothing."""
+    patterns = sorted((tuple(r[:-1]), float(r[-1])) for r in votes.groupBy(*NAMES).agg(F.count("*")).collect())
+    total = sum(n for _, n in patterns)
+    p = [0.95 * 0.3 ** sum(v < 0 for v in vs) for vs, _ in patterns]
     for _ in range(ROUNDS):
-        sums = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good")]
-        for r in NAMES:
-            for v in (-1, 0, 1):
-                own = F.when(F.col(r) == v, F.col("n")).otherwise(0.0)
-                sums += [F.sum(own).alias(f"{r} {v}"), F.sum(own * F.col("p")).alias(f"{r} {v} good")]
-        s = {k: x or 0.0 for k, x in patterns.withColumn("p", p).agg(*sums).first().asDict().items()}
-        good, rest = s["good"], s["n"] - s["good"]
-        prior = (good + 1.6) / (s["n"] + 2)
+        good = sum(n * q for (_, n), q in zip(patterns, p, strict=True))
+        rest = total - good
+        prior = (good + 1.6) / (total + 2)
+        all_of: dict[tuple[str, int], float] = {}
+        good_of: dict[tuple[str, int], float] = {}
+        for (vs, n), q in zip(patterns, p, strict=True):
+            for key in zip(NAMES, vs, strict=True):
+                all_of[key] = all_of.get(key, 0.0) + n
+                good_of[key] = good_of.get(key, 0.0) + n * q
         chance = {}
         for r in NAMES:
             for v in (-1, 0, 1):
                 # each rule keeps a say of two documents that vote as a fair rule would
                 first = lambda y: 0.5 if v == 0 else 1.1 if (v > 0) == (y > 0) else 0.4  # noqa: E731, B023
-                on_good, on_bad = (s[f"{r} {v} good"] + first(1)) / (good + 2), (s[f"{r} {v}"] - s[f"{r} {v} good"] + first(0)) / (rest + 2)
+                voted, on = all_of.get((r, v), 0.0), good_of.get((r, v), 0.0)
+                on_good, on_bad = (on + first(1)) / (good + 2), (voted - on + first(0)) / (rest + 2)
                 if v and (on_good - on_bad) * v < 0:
                     on_good = on_bad = (on_good * good + on_bad * rest + 1e-9) / (good + rest + 1e-9)
                 chance[r, 1, v], chance[r, 0, v] = on_good, on_bad
-        p = posterior(prior, chance)
+        odds = {(r, v): math.log(chance[r, 1, v] / chance[r, 0, v]) for r in NAMES for v in (-1, 0, 1)}
+        start = math.log(prior / (1 - prior))
+        p = [1 / (1 + math.exp(-max(-500.0, min(500.0, start + sum(odds[k] for k in zip(NAMES, vs, strict=True)))))) for vs, _ in patterns]
     return prior, chance
 
 
