@@ -1,9 +1,10 @@
 """Mixing sources to target weights: hash-random order within each source, prefix sums of sizes, an exact cut.
 
-The order of a source is that of md5(doc_id), uniformly random, so the leading BUCKET_DIGITS hex digits split each source
-into even ranges of that order without sampling. Sums of the ranges, then of the rows of the one range that holds the
+The order of a source is that of md5(doc_id, text), uniformly random, so the leading BUCKET_DIGITS hex digits split each
+source into even ranges of that order without sampling. Sums of the ranges, then of the keys of the one range that holds the
 cut, are the prefix sums: no task sorts or sums a whole source. What remains is a row per source: how many times all its
-documents are taken, and the place up to which they are taken once more."""
+documents are taken, and the place up to which they are taken once more. Rows that repeat an id and a text share a key; of
+those at the cut a row number says how far it goes."""
 
 from __future__ import annotations
 
@@ -25,8 +26,9 @@ def _source(source: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("0"), source), F.lit("1"))
 
 
-def _key(doc_id: str = "doc_id") -> Column:
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of the id and the text; no id has a colon, so each pair has a string of its own but null, which is as ''."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
 
 
 def n_words(text: str = "text") -> Column:
@@ -59,10 +61,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def plan(sizes: DataFrame) -> DataFrame:
-    """A row per source: (src, source_size, target, epochs, cut_key, cut_size, cut_words).
+    """A row per source: (src, source_size, target, epochs, cut_key, cut_rows, cut_words, copies).
 
-    Every document is taken `epochs` times; those before (cut_key, cut_size) in order once more, and of the one there
-    cut_words words. The sum over a source is the whole part of its target."""
+    Every document is taken `epochs` times; those before cut_key in order once more, of the `copies` rows there cut_rows
+    whole, and of one more row cut_words words. The sum over a source is the whole part of its target."""
     bucket = F.substring("key", 1, BUCKET_DIGITS)
     sizes = sizes.withColumn("bucket", bucket)
     goal = targets(sizes).withColumn("quota", F.floor("target").cast("long"))
@@ -70,38 +72,43 @@ def plan(sizes: DataFrame) -> DataFrame:
     order = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.groupBy("src", "bucket").agg(F.sum("size").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
     crossed = parts.join(goal, "src").where("before <= rest AND rest < before + words").select("src", "bucket", "before", "rest")
-    inside = Window.partitionBy("src").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    near = sizes.join(crossed, ["src", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = near.where("at <= rest AND rest < at + size").select("src", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), (F.col("rest") - F.col("at")).alias("cut_words"))
-    return goal.join(cut, "src", "left").select("src", "source_size", "target", "epochs", "cut_key", "cut_size", "cut_words")
-
-
-def _place() -> Column:
-    """-1, 0 or 1: a document before, at or after its source's cut."""
-    key, cut = F.struct("key", "size"), F.struct(F.col("cut_key").alias("key"), F.col("cut_size").alias("size"))
-    return F.when(F.col("cut_key").isNull(), 1).when(key < cut, -1).when(key == cut, 0).otherwise(1)
+    inside = Window.partitionBy("src").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    near = sizes.join(crossed, ["src", "bucket"]).groupBy("src", "key", "size", "before", "rest").agg(F.count("*").alias("copies"))
+    near = near.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    cut = near.where("at <= rest AND rest < at + size * copies").select("src", F.col("key").alias("cut_key"), F.expr("(rest - at) DIV size").alias("cut_rows"), F.expr("(rest - at) % size").alias("cut_words"), "copies")
+    return goal.join(cut, "src", "left").select("src", "source_size", "target", "epochs", "cut_key", "cut_rows", "cut_words", "copies")
 
 
 def _planned(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """rows(src, key, ...) with their source's plan. The plan is sent to all tasks if a count says that it is small;
-    otherwise it is repeated for SALTS parts of each source, so that no task gets a whole one."""
+    """rows(src, key, size, ...) with their source's plan and once: the words that the last epoch takes of the row.
+
+    The plan is sent to all tasks if a count says that it is small; otherwise it is repeated for SALTS parts of each source,
+    so that no task gets a whole one. Only where several equal rows stand at a cut are those numbered."""
     p = checkpoint(plan(sizes))
     if p.count() <= MOST_SENT:
-        return rows.join(F.broadcast(p), "src")
-    salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"]).drop("salt")
+        joined = rows.join(F.broadcast(p), "src")
+    else:
+        salted = p.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["src", "salt"]).drop("salt")
+    before, number = F.coalesce(F.col("key") < F.col("cut_key"), F.lit(False)), F.col("number")
+    there = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
+    once = F.when(before, F.col("size")).when(there & (number <= F.col("cut_rows")), F.col("size")).when(there & (number == F.col("cut_rows") + 1), F.col("cut_words")).otherwise(0)
+    if p.where("copies > 1").isEmpty():
+        return joined.withColumn("number", F.lit(1)).withColumn("once", once.cast("long"))
+    equal = Window.partitionBy("src", "key").orderBy(F.lit(1))
+    numbered = joined.where(there).withColumn("number", F.row_number().over(equal))
+    return joined.where(~there).withColumn("number", F.lit(1)).unionByName(numbered).withColumn("once", once.cast("long"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, text, source).
 
     Size: words of the text, 0 for null and blank texts, of which nothing is taken. Null sources are one source, the last.
-    Null ids take part like others. Rows that repeat an id and a size share a place in the order and are cut alike. Other
-    columns are ignored; an empty table gives an empty result. Ids alone decide the order, so reruns agree."""
+    Null ids take part like others. Rows that repeat an id and a text are one place in the order, of which any rows are
+    taken. Other columns are ignored; an empty table gives an empty result. Ids and texts alone decide the order, so reruns
+    agree."""
     sizes = sized(docs)
-    place = _place()
-    once = F.when(place == -1, F.col("size")).when(place == 0, F.col("cut_words")).otherwise(0)
-    taken = F.col("epochs") * F.col("size") + once
+    taken = F.col("epochs") * F.col("size") + F.col("once")
     return _planned(sizes, sizes).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
@@ -111,10 +118,10 @@ def mixture(docs: DataFrame) -> DataFrame:
     The copy at a source's cut ends after its last taken word; n_chars follows the text where there is such a column."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _source().alias("src"), _key().alias("key"), n_words().alias("size"))
     sizes = checkpoint(rows.select("src", "key", "size"))
-    joined = _planned(rows, sizes).withColumn("place", _place())
-    copies = F.array_repeat(F.lit(-1).cast("long"), (F.col("epochs") + F.when(F.col("place") == -1, 1).otherwise(0)).cast("int"))
-    part = F.when((F.col("place") == 0) & (F.col("cut_words") > 0), F.array("cut_words")).otherwise(F.array().cast("array<long>"))
-    out = joined.where("size > 0").select("row", F.explode(F.concat(copies, part)).alias("words"))
+    whole = F.col("once") == F.col("size")
+    copies = F.array_repeat(F.lit(-1).cast("long"), (F.col("epochs") + F.when(whole, 1).otherwise(0)).cast("int"))
+    part = F.when(~whole & (F.col("once") > 0), F.array("once")).otherwise(F.array().cast("array<long>"))
+    out = _planned(rows, sizes).where("size > 0").select("row", F.explode(F.concat(copies, part)).alias("words"))
     space = r"[\x20\x09-\x0D]"
     cut = F.regexp_substr(F.col("row.text"), F.concat(F.lit(f"(?:{space}*+{WORD}+)"), F.lit("{"), F.col("words").cast("string"), F.lit("}+")))
     text = F.when(F.col("words") >= 0, cut).otherwise(F.col("row.text"))

@@ -87,7 +87,7 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.root AS component_id,
 
 OP7 = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce('0' || source, '1') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+  SELECT doc_id, source, coalesce('0' || source, '1') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s1 AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS INT)] AS BIGINT) AS weight
@@ -104,7 +104,7 @@ s5 AS (
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM s5),
 r AS (
   SELECT d.doc_id, d.size, s6.source_size, s6.target, s6.epochs, CAST(floor(s6.target) AS BIGINT) - s6.epochs * s6.source_size AS rest,
-    coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY d.k, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN s6 USING (src))
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM r
 """
