@@ -119,15 +119,20 @@ def stars(links: DataFrame) -> DataFrame:
     execution may split, so no task holds a whole component. The rounds end when each node hangs on one that hangs on
     nothing. Loops, repeats and null ends are ignored."""
     e = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    while not _are_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v")
         e = checkpoint(small.distinct())
-        if e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
-            return e
+    return e
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Does each node of e(u, v) hang on one other at most, and on none that hangs?"""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up + down > 1").count() == 0
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -15,9 +15,20 @@ def session(cores: int | str = "*", partitions: int = 8, memory: str = "4g") ->
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df in the reliable checkpoint folder, its lineage cut; a temporary folder serves only where the session names none."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints; a temporary one only where driver and executors are one machine."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(found)
+    return found
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df in the reliable checkpoint folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

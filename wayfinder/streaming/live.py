@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.route import split_progress
+from ..session import shared_folder
 
 
 def as_stream(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -27,8 +27,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream gives until its input ends, as a table in memory."""
     name = f"stream_{uuid.uuid4().hex}"
-    shared = stream.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    place = f"{shared.rstrip('/')}/{name}" if shared else tempfile.mkdtemp(prefix="stream-")
+    place = f"{shared_folder(stream.sparkSession).rstrip('/')}/{name}"
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
 
@@ -56,7 +55,7 @@ def progress(spark: SparkSession, positions: DataFrame, routes: DataFrame, sink:
     def batch(df: DataFrame, number: int) -> None:
         sink(split_progress(latest(df).select(F.col("route_id").alias("query_id"), "x", "y"), routes), number)
 
-    return positions.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp(prefix="progress-")).start()
+    return positions.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(spark).rstrip('/')}/progress-{uuid.uuid4().hex}").start()
 
 
 def reroutes(strays: DataFrame, far: float = 20.0) -> DataFrame:
