@@ -23,9 +23,9 @@ CAPACITY = 2048
 #: Rank ranges of the pieces of one length.
 BUCKETS = 4096
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 #: Text bytes that are encoded at once.
-TEXT_BYTES = 1 << 23
+TEXT_BYTES = 1 << 22
 #: Latin letters that the tokenizer's normaliser turns into letters one by one, and ASCII marks that may follow them.
 _LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
