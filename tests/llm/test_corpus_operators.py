@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfinder.llm import fingerprints, html_extract, lm_score, mixing, near_dedup, packing, pii, quality_crf, quality_rules, toxicity
+from wayfinder.llm import components as components_module
 from wayfinder.llm.components import components
 from wayfinder.llm.hashing import shingle_sets, word_hashes
 from wayfinder.llm.queries import tokenizer_path
@@ -98,7 +99,7 @@ def test_near_duplicates(docs, empty, texts):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_large_group_of_uneven_copies(spark):
+def test_near_duplicates_large_group_of_uneven_copies(spark, monkeypatch):
     r = random.Random(5)
     base = words(90, 3)
     texts = []
@@ -108,8 +109,19 @@ def test_near_duplicates_large_group_of_uneven_copies(spark):
             w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
         texts.append(" ".join(w))
     want = jaccard_components(list(enumerate(texts)))
-    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got.collect()} == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(df).collect()} == want
+    monkeypatch.setattr(near_dedup, "MOST_SENT", 0)  # all joins shuffle
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(words(40, k)) for k in (1, 2, 3))
+    rows = [(5, a), (5, b), (7, b), (3, a), (9, c), (9, c), (None, c), (8, ""), (4, c + " more"), (None, "")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (4, 4), (5, 3), (5, 3), (7, 3), (8, 8), (9, 4), (9, 4)]
+    assert sum(r.doc_id is None and r.component_id is None and r.kept for r in got) == 2
 
 
 def test_signatures_equal_the_step_by_step_method():
@@ -124,7 +136,9 @@ def test_signatures_equal_the_step_by_step_method():
     assert abs((x == y).mean() - true) < 0.05
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [components_module.ONE_TASK, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components_module, "ONE_TASK", one_task)
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(5, 5), (1000, 1001), (1001, 1002), (1002, 1003)] + [(2000, x) for x in range(2001, 2100)]
     root = {x: x for e in edges for x in e}

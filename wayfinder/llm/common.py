@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import let
-from ..session import checkpoint
+from ..session import checkpoint, shared_folder
 
-__all__ = ["BLOCK_BYTES", "WORD", "checkpoint", "chunks", "held_out", "labelled_sample", "let", "slices", "table"]
+__all__ = ["BLOCK_BYTES", "WORD", "checkpoint", "chunks", "held_out", "labelled_sample", "let", "shared_folder", "slices", "table"]
 #: Words everywhere in this subpackage: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy block works on; longer documents make a block of their own.

@@ -9,7 +9,8 @@ Documents whose sets are equal collapse first (by a 128-bit hash of the set). Th
 of ROWS slots. Each bucket's least document is compared with all others, on full sets; links found this way make
 components. Where a bucket then still has several components, signatures tell which of them may hold similar documents;
 these make clusters, and in each cluster the documents outside its largest component meet all others on full sets, in
-blocks that an index of shingles joins. No bucket is capped and no task gets a whole one."""
+blocks that an index of shingles joins. No bucket is capped and no task gets a whole one: what is known of a key is sent to
+its rows, or joined in parts, so that rows are never dealt by a key that many share."""
 
 from __future__ import annotations
 
@@ -31,8 +32,8 @@ SLOTS = BANDS * ROWS
 LEAST_ALIKE = 0.6
 #: Members of a bucket, or of a star, that one group of a block comparison takes from each side.
 BLOCK = 256
-#: Rows of three or four numbers that may go to all tasks.
-MOST_SENT = 500_000
+#: Rows of a few numbers that may go to all tasks; parts of a key where there are more.
+MOST_SENT, SALTS = 100_000, 16
 EMPTY = U(2**64 - 1)
 
 
@@ -216,22 +217,30 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
-def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows(doc_id, ...) with the documents' texts. Rows that a count shows to be few go to all tasks, so that only the texts
-    that are asked for move; else both sides are shuffled by doc_id."""
+def _told(rows: DataFrame, facts: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows(doc_id, ...) with what facts, one row for each key, says of their key. Facts that a count shows to be few go to
+    all tasks; others are repeated for SALTS parts of each key, so that no task gets all rows of one."""
+    if facts.count() <= MOST_SENT:
+        return rows.join(F.broadcast(facts), key, how)
+    parts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parts, [*key, "salt"], how).drop("salt")
+
+
+def _with(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows(doc_id, ...) with the documents' columns of table. Rows that a count shows to be few go to all tasks, so that
+    only what is asked for moves; else both sides are shuffled by doc_id."""
     rows = checkpoint(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(rows) if rows.count() <= MOST_SENT else rows, "doc_id")
+    return table.join(F.broadcast(rows) if rows.count() <= MOST_SENT else rows, "doc_id")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have a similarity of 0.75 or more.
 
     Each a goes with up to BLOCK of its partners to a task; an a with more of them is sent again for every BLOCK."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("c")).withColumn("salts", F.ceil(F.col("c") / BLOCK).cast("int"))
-    partners = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc_id"))
-    stars = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc_id"))
-    rows = _with_texts(partners.union(stars), docs).select("a", "salt", "role", "doc_id", "text")
+    many = checkpoint(pairs.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select("a", F.ceil(F.col("c") / BLOCK).cast("int").alias("salts")))
+    salted = _told(pairs.select("a", F.col("b").alias("doc_id")), many, ["a"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    stars = salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct()
+    rows = _with(salted.select("a", "salt", F.lit(1).alias("role"), "doc_id").union(stars), texts).select("a", "salt", "role", "doc_id", "text")
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return dealt.mapInArrow(_confirm, "a long, b long")
 
@@ -244,62 +253,81 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     100 * intersection >= 75 * union; component_id is the least doc_id reachable over links. Rows of equal doc_id are one
     document; each of them appears. A row without doc_id links with nothing: component_id null, kept true. Other columns
     are ignored; an empty table gives an empty result."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = checkpoint(docs.select("doc_id", "text").mapInArrow(_sign, SIGNED))
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    least = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = some.select("h1", "h2", "doc_id").distinct().join(least, ["h1", "h2"])
-    solo = signed.join(least.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])
-    solo = checkpoint(solo.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sign"))
+    # one document for each set: the least; what its rows hold besides follows from the set
+    sets = checkpoint(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sign").alias("sign")))
+    solo = sets.select(F.col("rep").alias("doc_id"), "n", "keys", "sign")
 
     rows = solo.select("doc_id", "n", F.explode("keys").alias("key"))
     heads = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
     bucket = checkpoint(rows.join(heads, "key").select("key", "doc_id", "n", F.col("head.doc_id").alias("head"), F.col("head.n").alias("head_n")))
     fit = 100 * F.least("n", "head_n") >= 75 * F.greatest("n", "head_n")
-    pairs = bucket.where((F.col("doc_id") != F.col("head")) & fit).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = checkpoint(confirm(pairs, docs))
-    # documents of one id with several texts hold their sets together
-    same = member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(links)
-    links = links.union(_left_over(bucket, solo, docs, roots))
-    full = components(links.union(same))
-    out = signed.join(full.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _blocks(named: DataFrame, key: str) -> DataFrame:
-    """named(key, doc_id, root, out, ...) in groups, as further columns grp and side.
-
-    Within a key, every block of outsiders (out) meets every block of insiders, every later block of outsiders and itself;
-    insiders never meet insiders. Side 1 of a group meets its side 0; side 2 meets itself. Keys without outsiders go."""
-    counts = named.groupBy(key).agg(F.count_if("out").alias("outs"), F.count_if(~F.col("out")).alias("ins")).where("outs > 0")
-    blocks = counts.select(key, F.ceil(F.col("outs") / BLOCK).cast("int").alias("ob"), F.ceil(F.col("ins") / BLOCK).cast("int").alias("ib"))
-    at = F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("ob")).otherwise(F.col("ib"))).cast("int")
-    placed = named.join(blocks, key).withColumn("at", at)
+    pairs = checkpoint(bucket.where((F.col("doc_id") != F.col("head")) & fit).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
+    roots = components(checkpoint(confirm(pairs, texts)))  # a task of two Python steps would hold two workers
+    more = _left_over(bucket, solo, texts, roots)
+    copies = checkpoint(sets.where("rep <> last").select("h1", "h2", "rep"))
+    more = more.union(_of_one_id(some, copies))
+    rooted = _rooted(roots, more)
+    rep = _told(some.select("doc_id", "n_shingles", "h1", "h2"), copies, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    linked = _told(rep, checkpoint(rooted.select(F.col("node").alias("rep"), "root")), ["rep"], "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_one_id(some: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links (a, b) between the least documents of the sets that one id holds, for ids of several different texts."""
+    ids = some.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("h1", "h2") for f in (F.min, F.max)]).where("min_h1 <> max_h1 OR min_h2 <> max_h2").select("doc_id")
+    held = _told(_with(ids, some.select("doc_id", "h1", "h2")).distinct(), copies, ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    return held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
+def _rooted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(node, root) after further links (a, b): only the roots that they join are searched again."""
+
+    def root(side: str) -> DataFrame:
+        return roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+
+    links = checkpoint(links.distinct())
+    met = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    tops = components(met.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    below = _told(roots.withColumnRenamed("node", "doc_id"), tops, ["root"], "left").select(F.col("doc_id").alias("node"), F.coalesce("top", "root").alias("root"))
+    # nodes that had no link before
+    return below.union(tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti"))
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """rows(key, doc_id, root, ...) of the keys that hold several roots, in groups: further columns grp and side.
+
+    A key's outsiders are those outside its most frequent root. Every block of outsiders meets every block of insiders, every
+    later block of outsiders and itself; insiders never meet insiders. Side 1 of a group meets its side 0; side 2 meets
+    itself."""
+    sizes = rows.groupBy(key, "root").agg(F.count("*").alias("size"))
+    info = sizes.groupBy(key).agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"), F.max("size").alias("ins"), F.sum("size").alias("all")).where("ins < all")
+    info = checkpoint(info.select(key, "main", F.ceil((F.col("all") - F.col("ins")) / BLOCK).cast("int").alias("ob"), F.ceil(F.col("ins") / BLOCK).cast("int").alias("ib")))
+    placed = _told(rows, info, [key]).withColumn("out", F.col("root") != F.col("main"))
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("doc_id"), F.when(F.col("out"), F.col("ob")).otherwise(F.col("ib"))).cast("int"))
     groups = F.expr(
-        "CASE WHEN out THEN concat(transform(CASE WHEN ib > 0 THEN sequence(1, ib) ELSE cast(array() AS array<int>) END, j -> struct(at AS i, 0 AS kind, j - 1 AS j, 1 AS side)), "
+        "CASE WHEN out THEN concat(transform(sequence(1, ib), j -> struct(at AS i, 0 AS kind, j - 1 AS j, 1 AS side)), "
         "transform(sequence(0, ob - 1), j -> struct(least(at, j) AS i, 1 AS kind, greatest(at, j) AS j, CASE WHEN j = at THEN 2 WHEN at < j THEN 1 ELSE 0 END AS side))) "
         "ELSE transform(sequence(0, ob - 1), i -> struct(i AS i, 0 AS kind, at AS j, 0 AS side)) END")
     dealt = placed.withColumn("g", F.explode(groups))
-    return dealt.select(*named.columns, F.xxhash64(key, "g.i", "g.kind", "g.j").alias("grp"), F.col("g.side").alias("side"))
+    return dealt.select(*rows.columns, F.xxhash64(key, "g.i", "g.kind", "g.j").alias("grp"), F.col("g.side").alias("side"))
 
 
-def _left_over(bucket: DataFrame, solo: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+def _left_over(bucket: DataFrame, solo: DataFrame, texts: DataFrame, roots: DataFrame) -> DataFrame:
     """Links (a, b) between documents of a bucket that the first comparison left in different components.
 
     First signatures tell which components hold documents that may be similar; they make clusters. Then, in each cluster,
     the documents outside its largest component meet all others of the cluster on full sets."""
     roots = roots.withColumnRenamed("node", "doc_id")
-    named = bucket.join(roots, "doc_id", "left").select("key", "doc_id", "n", "head", F.coalesce("root", "doc_id").alias("root"))
-    heads = roots.select(F.col("doc_id").alias("head"), F.col("root").alias("head_root"))
-    named = named.join(heads, "head", "left").withColumn("out", F.col("root") != F.coalesce("head_root", "head")).select("key", "doc_id", "n", "root", "out")
-    met = _blocks(named, "key").join(solo.select("doc_id", "sign"), "doc_id").select("grp", "side", "doc_id", "root", "n", "sign")
-    near = met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_alike, "a long, b long").distinct()
+    named = checkpoint(bucket.select("key", "doc_id", "n").join(roots, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
+    met = _with(_blocks(named, "key"), solo.select("doc_id", "sign")).select("grp", "side", "doc_id", "root", "n", "sign")
+    near = checkpoint(met.repartition("grp").sortWithinPartitions("grp").mapInArrow(_alike, "a long, b long"))
     cluster = components(near).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
-    rows = solo.select("doc_id").distinct().join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("root")).join(cluster, "root")
-    rows = checkpoint(rows)
-    sizes = rows.groupBy("cluster", "root").agg(F.count("*").alias("size"))
-    most = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("main"))
-    rows = rows.join(most, "cluster").select("cluster", "doc_id", "root", (F.col("root") != F.col("main")).alias("out"))
-    dealt = _with_texts(_blocks(rows, "cluster").select("grp", "side", "doc_id", "root"), docs).select("grp", "side", "doc_id", "root", "text")
+    mine = _told(roots, cluster, ["root"]).select("cluster", "doc_id", "root")
+    alone = cluster.join(roots.select("root").distinct(), "root", "left_anti").select("cluster", F.col("root").alias("doc_id"), "root")
+    rows = checkpoint(mine.union(alone))
+    dealt = _with(_blocks(rows, "cluster").select("grp", "side", "doc_id", "root"), texts).select("grp", "side", "doc_id", "root", "text")
     return dealt.repartition("grp").sortWithinPartitions("grp", F.col("side").desc()).mapInArrow(_meet, "a long, b long")
