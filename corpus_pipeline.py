@@ -5,14 +5,13 @@ docs. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfinder.llm.common import table
+from wayfinder.llm.common import shared_folder, table
 from wayfinder.llm.mixing import mixture
 from wayfinder.llm.near_dedup import near_duplicates
 from wayfinder.llm.packing import pack
@@ -28,10 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the least doc_id, and one row of it; rows without an id stay."""
+    """One document of each near-duplicate group, that of the least doc_id; rows without an id stay.
+
+    Rows of one id are one document; of a kept one every different text stays, once. Of rows that repeat an id and a text the
+    one whose other columns are least stays, so reruns agree."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct("text", *[F.col(f"`{c}`") for c in rest])
+    once = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("__hash"), F.crc32(F.col("text").cast("binary")).alias("__crc")).agg(F.min(row).alias("__row"))
+    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    return once.union(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over sf_dir's documents; what goes between stages is written to the shared folder."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         place = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4()}/{name.replace(' ', '-')}"
