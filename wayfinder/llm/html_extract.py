@@ -2,14 +2,16 @@
 
 A page becomes a flat list of text blocks, cut wherever a block-level element begins or ends. A block has its word count and
 link density, those of the blocks before and after it, and where it stands (within the article, within navigation, in an
-element named like an advert or a comment, ...). A decision tree, grown on the small labelled table below, says which
-blocks are content."""
+element named like an advert or a comment, ...). A decision tree, grown on the labelled blocks of a few generated pages,
+says which blocks are content."""
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +27,48 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 ASIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
 CONTENT = frozenset("article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|footer|header|masthead|comments?|replies|reply|disqus|discussion|respond|cookies?|consent|notices?|alert|notif\w*|gdpr|popup|modal|overlay|toast|newsletter|subscribe|signup|login|feedback|"
-    r"search|share|sharing|social|related|recommended|toolbar|pagination|pager|widget|copyright|legal|disclaimer|skip|hidden)(?:$|[\s_-])",
-    re.I,
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that name what isn't content, what is, and what may stand beside either in a name.
+NAMED = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsors sponsored promo promos promoted promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer footers masthead "
+    "comment comments commentlist reply replies disqus discussion respond cookie cookies consent notice notices alert alerts notification notifications gdpr popup modal overlay toast newsletter subscribe subscription signup "
+    "login feedback search share sharing sharebar social related recommended recommendations toolbar pagination pager widget widgets copyright legal disclaimer skip hidden header".split()
+)
+MAIN = frozenset("article content main post entry story".split())
+BESIDE = frozenset(
+    "area bar block body bottom box button buttons card cards column container content credits entry field fields footer form global group header image info inner inline item items left line link links list "
+    "main meta module nav outer page panel post posts article articles primary reader readers right row secondary section sections site slot small story text top unit user users visitor wrap wrapper".split()
 )
-NAMED_MAIN = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|$)""", re.I)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "aside", "named", "page_has_content", "heading", "list")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "content", "aside", "named", "page_has_content", "heading", "list", "rights")
+_RIGHTS = re.compile(r"^(?:copyright\s*)?(?:\(c\)|\u00a9|copyright)\s*(?:[0-9]{4}|by\b)|all rights reserved", re.I)
+
+
+@lru_cache(maxsize=10_000)
+def _said(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes name an element of that tag as something else than content, as content, or hide it.
+
+    Each name in class, id or role is words joined by hyphens or capitals. It counts if all its words are known ones, so
+    that slugs of titles (search-methods) and modifiers (has-sidebar) don't. Ids of headings never count."""
+    named = main = hidden = False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        value = next((v for v in values if v), "")
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            if name == "id" and tag in HEADINGS:
+                continue
+            for one in value.split():
+                words = [w for w in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower().replace("side-bar", "sidebar").replace("_", "-").split("-") if w and not w.isdigit()]
+                known = all(w in NAMED or w in MAIN or w in BESIDE for w in words)
+                if known and any(w in NAMED for w in words):
+                    named = True
+                elif known and any(w in MAIN for w in words):
+                    main = True
+        else:
+            hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
+    return named, main, hidden
 
 
 class _Frame:
@@ -42,25 +76,25 @@ class _Frame:
 
     def __init__(self, tag: str, up: _Frame | None, attributes: str) -> None:
         self.tag = tag
-        named = main = hidden = False
-        if attributes:
-            for name, *values in _ATTRIBUTE.findall(attributes):
-                value = next((v for v in values if v), "")
-                name = name.lower()
-                if name in ("class", "id", "role"):
-                    named |= bool(NAMED.search(value))
-                    main |= bool(NAMED_MAIN.search(value))
-                else:
-                    hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
-        body = tag in ("body", "html")
-        self.named = (up.named if up else 0) or (named and not (main and tag in CONTENT) and not body)
-        self.content = (up.content if up else 0) or tag in CONTENT or (main and not named and not body)
-        self.aside = (up.aside if up else 0) or tag in ASIDE
-        self.skip = (up.skip if up else 0) or tag in SKIPPED or hidden
-        self.heading = (up.heading if up else 0) or tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        self.list = (up.list if up else 0) or tag in ("li", "ul", "ol", "dl", "td", "th")
+        named, main, hidden = _said(tag, attributes) if attributes else (False, False, False)
+        whole = tag in ("body", "html")
+        over = up or _NOWHERE
+        self.named = over.named or (named and tag not in INLINE and not whole and not (main and tag in CONTENT))
+        self.content = over.content or tag in CONTENT or (main and not named and not whole and tag not in INLINE)
+        # a header within the article holds the article's own title
+        own = tag == "header" and over.content and not over.aside
+        self.aside = 0 if tag in HEADINGS and over.aside == 1 else max(over.aside, 1 if own else 2 * (tag in ASIDE))
+        self.skip = over.skip or tag in SKIPPED or hidden
+        self.heading = over.heading or tag in HEADINGS
+        self.list = over.list or tag in ("li", "ul", "ol", "dl", "td", "th")
+
+
+class _Nowhere:
+    content = named = skip = heading = list = False
+    aside = 0
 
 
+_NOWHERE = _Nowhere()
 #: Elements whose beginning ends an open one of the same kind.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table td th body html article section div main aside nav header footer form".split())
@@ -148,59 +182,112 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     rows = []
     for i, (t, n, d, f) in enumerate(out):
         before, after = (out[i - 1] if i else (0, 0, 0.0)), (out[i + 1] if i + 1 < len(out) else (0, 0, 0.0))
-        rows.append((t, [n, d, before[1], before[2], after[1], after[2], float(bool(f.content)), float(bool(f.aside)), float(bool(f.named)), float(has_content), float(bool(f.heading)), float(bool(f.list))]))
+        rows.append((t, [n, d, before[1], before[2], after[1], after[2], float(bool(f.content)), float(bool(f.aside)), float(bool(f.named)), float(has_content), float(bool(f.heading)), float(bool(f.list)), float(n <= 40 and bool(_RIGHTS.search(t)))]))
     return rows
 
 
-#: The labelled table: blocks as FEATURES, and whether they are content.
-LABELLED = [
-    # an article's paragraphs and headings, of any length, with few or many links
-    ((42, 0.0, 35, 0.0, 51, 0.0, 1, 0, 0, 1, 0, 0), 1), ((3, 0.0, 40, 0.0, 38, 0.1, 1, 0, 0, 1, 0, 0), 1), ((1, 0.0, 12, 0.0, 25, 0.0, 1, 0, 0, 1, 0, 0), 1), ((9, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 1, 1, 0), 1),
-    ((120, 0.05, 9, 0.0, 80, 0.0, 1, 0, 0, 1, 0, 0), 1), ((15, 0.4, 60, 0.0, 22, 0.0, 1, 0, 0, 1, 0, 0), 1), ((6, 1.0, 44, 0.0, 31, 0.0, 1, 0, 0, 1, 0, 0), 1), ((7, 0.0, 11, 0.0, 9, 0.0, 1, 0, 0, 1, 0, 1), 1),
-    ((4, 1.0, 5, 1.0, 4, 1.0, 1, 0, 0, 1, 0, 1), 1), ((30, 0.0, 8, 0.0, 9, 0.0, 1, 0, 0, 1, 0, 0), 1), ((2, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1, 0, 0), 1), ((18, 0.0, 1, 0.0, 6, 0.2, 1, 0, 0, 1, 0, 0), 1),
-    ((1, 1.0, 40, 0.0, 22, 0.0, 1, 0, 0, 1, 0, 0), 1), ((2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 1), ((1, 1.0, 0, 0.0, 3, 0.0, 1, 0, 0, 1, 1, 0), 1), ((1, 0.0, 5, 1.0, 2, 1.0, 1, 0, 0, 1, 0, 0), 1), ((3, 0.0, 1, 1.0, 44, 0.0, 1, 0, 0, 1, 0, 0), 1), ((12, 0.9, 7, 0.8, 30, 0.0, 1, 0, 0, 1, 0, 0), 1),
-    ((2, 0.5, 2, 1.0, 0, 0.0, 1, 0, 0, 1, 0, 1), 1), ((1, 0.0, 1, 0.0, 1, 0.0, 1, 0, 0, 1, 0, 0), 1), ((60, 0.8, 1, 0.0, 1, 0.9, 1, 0, 0, 1, 0, 0), 1), ((5, 0.6, 50, 0.1, 50, 0.7, 1, 0, 0, 1, 0, 0), 1), ((25, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1, 0, 0), 1), ((1, 1.0, 1, 1.0, 0, 0.0, 1, 0, 0, 1, 0, 1), 1),
-    # menus, headers, footers, sidebars and forms, also inside an article
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0, 1), 0), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0, 1), 0), ((6, 0.0, 41, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 0), ((45, 0.0, 60, 0.0, 12, 0.0, 0, 1, 0, 1, 0, 0), 0),
-    ((5, 0.0, 22, 0.0, 30, 0.0, 1, 1, 0, 1, 0, 0), 0), ((28, 0.1, 35, 0.0, 40, 0.0, 1, 1, 0, 1, 0, 0), 0), ((4, 0.0, 2, 0.0, 9, 0.0, 1, 1, 0, 1, 1, 0), 0), ((3, 1.0, 14, 0.0, 3, 1.0, 1, 1, 0, 1, 0, 1), 0),
-    # adverts, notices, comments and shares by their names, in and out of the article
-    ((8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 1, 0, 0), 0), ((40, 0.0, 70, 0.0, 35, 0.0, 0, 0, 1, 1, 0, 0), 0), ((33, 0.0, 20, 0.0, 51, 0.0, 1, 0, 1, 1, 0, 0), 0), ((2, 1.0, 40, 0.0, 2, 1.0, 1, 0, 1, 1, 0, 1), 0),
-    ((12, 0.0, 33, 0.0, 14, 0.0, 1, 0, 1, 1, 0, 0), 0), ((25, 0.0, 12, 0.0, 0, 0.0, 0, 1, 1, 1, 0, 0), 0), ((5, 0.0, 9, 0.0, 60, 0.0, 1, 1, 1, 1, 1, 0), 0),
-    # outside the article of a page that has one
-    ((22, 0.0, 8, 0.0, 30, 0.0, 0, 0, 0, 1, 0, 0), 0), ((4, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 1, 0, 0), 0), ((60, 0.0, 40, 0.0, 9, 0.0, 0, 0, 0, 1, 0, 0), 0), ((7, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1, 1, 0), 0),
-    # pages without such an element: text by its length and links, and by its neighbours'
-    ((40, 0.0, 12, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 0), 1), ((16, 0.1, 50, 0.0, 44, 0.0, 0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 0), 1), ((8, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 0, 1, 0), 1),
-    ((3, 0.0, 38, 0.0, 33, 0.0, 0, 0, 0, 0, 0, 0), 1), ((11, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 1), ((25, 0.2, 28, 0.0, 19, 0.0, 0, 0, 0, 0, 0, 1), 1),
-    ((2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 1), 0), ((12, 0.9, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 0), 0), ((3, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), 0), ((4, 0.0, 3, 0.0, 2, 0.5, 0, 0, 0, 0, 0, 0), 0), ((10, 0.8, 9, 0.9, 8, 1.0, 0, 0, 0, 0, 0, 1), 0),
-    ((1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 1), 0), ((3, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0), ((6, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 0), 0), ((45, 0.9, 60, 0.0, 50, 0.0, 0, 0, 0, 0, 0, 0), 0), ((70, 0.7, 2, 1.0, 3, 0.0, 0, 0, 0, 0, 0, 0), 0), ((2, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 0, 0, 1), 0),
-    ((1, 1.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 0), ((5, 0.8, 2, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 0), 0), ((20, 0.6, 30, 0.1, 25, 0.9, 0, 0, 0, 0, 0, 0), 0), ((9, 1.0, 12, 1.0, 31, 0.0, 0, 0, 0, 0, 1, 0), 0), ((4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0), ((2, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 0),
-    ((80, 0.1, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 1), ((55, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 0), 1), ((33, 0.2, 2, 1.0, 64, 0.0, 0, 0, 0, 0, 0, 0), 1), ((28, 0.0, 40, 0.3, 2, 1.0, 0, 0, 0, 0, 0, 0), 1), ((2, 0.0, 25, 0.0, 41, 0.0, 0, 0, 0, 0, 0, 0), 1), ((7, 0.0, 6, 0.0, 50, 0.0, 0, 0, 0, 0, 1, 0), 1), ((120, 0.3, 9, 0.0, 5, 0.0, 0, 0, 0, 0, 0, 0), 1),
-    ((30, 0.0, 22, 0.0, 30, 0.0, 0, 0, 1, 0, 0, 0), 0), ((9, 0.3, 22, 0.0, 14, 0.0, 0, 1, 0, 0, 0, 0), 0), ((35, 0.0, 30, 0.0, 30, 0.0, 0, 1, 0, 0, 0, 0), 0), ((20, 0.0, 30, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 0), 0),
-]
-
-
-def grow(rows: np.ndarray, labels: np.ndarray) -> dict | int:
-    """A binary decision tree by Gini impurity, split until pure: {"feature", "cut", "low", "high"} or a label.
-
-    Of equally good splits the first feature and the least cut stand."""
-    if len(set(labels.tolist())) == 1:
-        return int(labels[0])
+#: Pages of the labelled table, the depth of the tree, and the fewest blocks of a leaf.
+PAGES, DEPTH, LEAF = 300, 9, 5
+
+
+def labelled_pages(seed: int, n: int = PAGES) -> list[str]:
+    """Pages whose words say whether they are content: those of content begin with c, all others with z.
+
+    Layouts vary: with or without an element around the article, menus marked up or bare, and so on."""
+    r = random.Random(seed)
+
+    def words(a: int, b: int, kind: str = "c") -> str:
+        return " ".join(f"{kind}{r.randrange(1000)}" for _ in range(r.randint(a, b)))
+
+    def links(a: int, b: int, kind: str = "z") -> str:
+        return f"<a href=x>{words(a, b, kind)}</a>"
+
+    def menu() -> str:
+        items = [links(1, 3) for _ in range(r.randint(4, 9))]
+        rows, divs = "<li>".join(items), "</div><div>".join(items)
+        return r.choice([f"<ul><li>{rows}</ul>", f"<div>{divs}</div>", f"<nav><ul><li>{rows}</ul></nav>", f'<div class="menu"><div>{divs}</div></div>', f"<table><tr><td>{'<td>'.join(items)}</table>", f"<p>{' | '.join(items)}</p>"])
+
+    def aside() -> str:
+        short, long = words(1, 8, "z"), words(9, 70, "z")
+        return r.choice([
+            f"<aside><h3>{short}</h3><p>{long}</p></aside>", f'<div class="sidebar"><p>{long}</p>{menu()}</div>', f'<div class="cookie-notice">{r.choice([short, long])}</div>', f"<div class=ad>{r.choice([short, long])}</div>",
+            f'<div id="ad-slot-2"><p>{short}</p></div>', f"<form><label>{short}</label></form>", f'<div class="newsletter-signup"><h3>{short}</h3><p>{long}</p></div>', f'<div class="share">{links(1, 2)} {links(1, 1)}</div>',
+            f'<section class="comments"><h2>{short}</h2><p>{long}</p><p>{words(2, 40, "z")}</p></section>', f'<div class="related-posts"><h3>{short}</h3><ul><li>{links(4, 10)}<li>{links(4, 10)}</ul></div>',
+        ])
+
+    def block(within: bool) -> str:
+        kind = r.randrange(12)
+        if kind < 5:
+            return f"<p>{words(8, 150)}</p>"
+        if kind == 5:
+            return f"<p>{words(1, 8)}</p>"
+        if kind == 6:
+            return f"<h2>{words(1, 9)}</h2><p>{words(10, 60)}</p>"
+        if kind == 7:
+            return "<ul><li>" + "<li>".join(words(2, 20) for _ in range(r.randint(2, 5))) + "</ul>"
+        if kind == 8:
+            return f"<p>{words(6, 40)} {links(1, 14, 'c')} {words(4, 40)}</p>"
+        if kind == 9:
+            return f"<blockquote>{words(5, 60)}</blockquote>"
+        if kind == 10 and within:
+            return r.choice([f"<p>{links(3, 12, 'c')}</p>", f"<ul><li>{links(1, 6, 'c')}<li>{links(1, 6, 'c')}</ul>", f"<p>{links(2, 5, 'c')}, {links(2, 5, 'c')}</p><p>{words(3, 30)}</p>", f"<p>Copyright 2020 {words(2, 20)}</p>"])
+        return f"<div>{words(5, 90)}<br>{words(5, 60)}</div>"
+
+    pages = []
+    for _ in range(n):
+        open_, close = r.choice([("", "")] * 4 + [("<article>", "</article>")] * 3 + [("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div id="post-77" class="post">', "</div>")])
+        body = [block(bool(open_)) for _ in range(r.randint(1, 9))]
+        if r.random() < 0.8:
+            body.insert(0, f"<h1>{words(1, 12)}</h1>")
+        if r.random() < 0.5:
+            body.insert(r.randint(0, len(body)), r.choice([aside(), aside(), f"<nav>{links(1, 4)} {links(1, 4)}</nav>", f"<aside>{links(3, 9)}</aside>", f"<footer>{links(1, 3)} {words(0, 9, 'z')}</footer>", f"<form>{links(1, 3)}</form>"]))
+        top = [x for x in (f"<header><p>{words(1, 12, 'z')}</p></header>", menu(), aside(), f"<div>{links(1, 2)}</div>") if r.random() < 0.5]
+        if open_ and r.random() < 0.3:
+            top.append(f"<p>{words(3, 60, 'z')}</p>")
+        end = [x for x in (aside(), menu(), aside()) if r.random() < 0.5]
+        end += [r.choice([f"<footer>&copy; {words(1, 30, 'z')}</footer>", f"<footer><p>{words(2, 40, 'z')}</p>{menu()}</footer>", f"<div class=footer>{words(2, 30, 'z')}</div>", f"<p>Copyright 2024 {words(1, 12, 'z')}</p>", f"<div>&copy; 2020 {words(1, 12, 'z')}</div>", ""])]
+        r.shuffle(end)
+        if r.random() < 0.35:  # nothing but the article, maybe a short one
+            top, end, body = [], [], r.choice([body, [f"<p>{words(1, 12)}</p>"], [*body, f"<p>{words(1, 6)}</p>"]])
+        pages.append(f"<html><body>{''.join(top)}{open_}{''.join(body)}{close}{''.join(end)}</body></html>")
+    return pages
+
+
+def labelled(seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The labelled table: blocks of generated pages as FEATURES, and whether they are content."""
+    table = [(row, next(w[0] for w in t.split() if re.fullmatch("[cz][0-9]+", w)) == "c") for page in labelled_pages(seed) for t, row in blocks(page)]
+    return np.array([row for row, _ in table]), np.array([y for _, y in table], int)
+
+
+def grow(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH) -> dict | int:
+    """A binary decision tree by Gini impurity, of at most `depth` splits on the way to a leaf, leaves of LEAF blocks or more:
+    {"feature", "cut", "low", "high"} or a label. Of equally good splits the first feature and the least cut stand."""
+    most = int(labels.mean() >= 0.5)
+    if depth == 0 or len(set(labels.tolist())) == 1:
+        return most
     best = None
     for f in range(rows.shape[1]):
-        values = np.unique(rows[:, f])
-        for cut in (values[:-1] + values[1:]) / 2:
-            low = rows[:, f] < cut
-            impurity = sum(m.sum() * 2 * labels[m].mean() * (1 - labels[m].mean()) for m in (low, ~low))
-            if best is None or impurity < best[0] - 1e-9:
-                best = impurity, f, float(cut), low
-    if best is None:
-        return int(labels.mean() >= 0.5)
-    _, f, cut, low = best
-    return {"feature": f, "cut": cut, "low": grow(rows[low], labels[low]), "high": grow(rows[~low], labels[~low])}
-
-
+        order = np.argsort(rows[:, f], kind="stable")
+        x, y = rows[order, f], labels[order]
+        n = np.arange(1, len(y))
+        good = np.cumsum(y)[:-1]
+        impurity = 2 * good * (1 - good / n) + 2 * (y.sum() - good) * (1 - (y.sum() - good) / (len(y) - n))
+        fits = (x[1:] > x[:-1]) & (n >= LEAF) & (len(y) - n >= LEAF)
+        if fits.any():
+            k = int(np.where(fits, impurity, np.inf).argmin())
+            if best is None or impurity[k] < best[0] - 1e-9:
+                best = float(impurity[k]), f, float((x[k] + x[k + 1]) / 2)
+    if best is None or best[0] > 2 * labels.sum() * (1 - labels.mean()) - 1e-9:
+        return most
+    _, f, cut = best
+    at = rows[:, f] < cut
+    low, high = grow(rows[at], labels[at], depth - 1), grow(rows[~at], labels[~at], depth - 1)
+    return low if low == high else {"feature": f, "cut": cut, "low": low, "high": high}
+
+
+@lru_cache(maxsize=1)
 def trained() -> dict | int:
-    return grow(np.array([x for x, _ in LABELLED], float), np.array([y for _, y in LABELLED]))
+    return grow(*labelled())
 
 
 def is_content(row: list[float], tree: dict | int) -> bool:
