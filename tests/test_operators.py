@@ -85,6 +85,18 @@ def test_knn_equals_brute_force(spark, seed, k, with_self):
     assert got == want
 
 
+def test_knn_of_uneven_points(spark):
+    """One far point, clusters of different density, and many points on one place."""
+    r = random.Random(6)
+    rows = [(i, round(1e5 * (i % 3) + r.gauss(0, 10 ** (i % 3)), 3), round(r.gauss(0, 10 ** (i % 3)), 3)) for i in range(150)]
+    rows += [(200 + i, 5.0, 5.0) for i in range(40)] + [(300, 1e8, -1e8)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    got = {(x.id, x.rank): x.other for x in joins.knn_join(df, df, 4).collect()}
+    for i, x, y in rows:
+        near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, a, b in rows if j != i)[:4]
+        assert [got[i, n] for n in range(1, 5)] == [j for _, j in near], i
+
+
 def test_radius_and_matches(spark):
     rows, df = points(spark, 80, 3)
     got = {(r.id, r.other) for r in joins.radius_join(df, df, 12.0).collect()}
@@ -281,6 +293,20 @@ def test_both_ways_of_sssp_agree(spark, network):
         assert path[0] == 0 and path[-1] == t and sum(weight[e] for e in itertools.pairwise(path)) == want[0, t]
 
 
+def test_both_ways_of_sssp_agree_without_lengths(spark):
+    """Ways without length go round; following prev doesn't."""
+    r = random.Random(9)
+    ways = [(10, 7, 5.0), (7, 3, 0.0), (3, 7, 0.0), (3, 3, 0.0)] + [(r.randrange(30), r.randrange(30), float(r.choice([0, 0, 1, 2]))) for _ in range(90)]
+    edges = spark.createDataFrame(ways, "src long, dst long, w double").cache()
+    sources = spark.createDataFrame([(10,), (0,), (5,)], "source long")
+    small, large = ({(x.source, x.node): (x.d, x.prev) for x in search.sssp(edges, sources, distributed=d).collect()} for d in (False, True))
+    assert small == large and {k: d for k, (d, _) in small.items()} == {(s, n): d for s in (10, 0, 5) for n, d in dijkstra(ways, s).items()}
+    tree = spark.createDataFrame([(*k, *v) for k, v in small.items()], "source long, node long, d double, prev long")
+    ends = tree.select("source", F.col("node").alias("target"))
+    walked = search.paths_from(tree, ends).groupBy("source", "target").agg(F.max_by("node", "seq").alias("first")).collect()
+    assert len(walked) == len(small) and all(x.first == x.source for x in walked)
+
+
 def test_landmark_bounds_never_exceed_distances(spark, network):
     _, nodes, edges = network
     marks = search.landmark_distances(edges, search.select_landmarks(nodes, 8)).cache()
@@ -357,6 +383,8 @@ def test_labels(spark):
     assert len(labels.nested_labels(near).first().nodes) == 3
     got = labels.suggest(spark.createDataFrame([(" HALL ",), ("q",)], "q string"), index, near).collect()
     assert {(r.name, r.node is None) for r in got} == {("Hall", False), ("hall B", True)}
+    met = labels.contains(spark.createDataFrame([("HAL",), ("l",), ("",), ("ll b",), ("hx",)], "q string"), names).collect()
+    assert {(r.q, r.name, r.rank) for r in met} == {("HAL", "Hall", 1), ("HAL", "hall B", 2), ("l", "Hall", 1), ("l", "hall B", 2), ("", "", 1), ("", "Hall", 2), ("", "hall B", 3), ("ll b", "hall B", 1)}
     both = spark.createDataFrame([("a", 1.0, 1.0, 1), ("a", 2.0, 2.0, 2)], "name string, x double, y double, order int")
     assert labels.last_of_each(both).first()[1:] == (2.0, 2.0)
 

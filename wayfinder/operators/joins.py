@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import cell, segments_meet, squared
 from ..session import checkpoint
 
+#: Queries that may go to all tasks with their nine cells, of some 50 bytes each.
+FEW = 20_000
+
 
 def _around(points: DataFrame, size: float, ring: int = 1) -> DataFrame:
     """points once for each cell of the (2 ring + 1)^2 cells around theirs."""
@@ -40,44 +43,64 @@ def _bounds(points: DataFrame) -> Row:
     return points.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
 
 
-def _cell_size(b: Row, k: int) -> float:
-    """A cell in whose ring a disc is expected to hold 3 k of the points of these bounds."""
+def _cell_size(points: DataFrame, b: Row, k: int) -> tuple[float, bool]:
+    """A size of cells in which a place shares its cell with at most some k others, and whether few points share a place.
+
+    It starts from the bounds' area and shrinks while the mean number of places in a place's cell, sum(n^2) / sum(n), is
+    above that: so one far point, or points in clusters, don't make cells that hold everything."""
+    places = checkpoint(points.groupBy("x", "y").agg(F.count("*").cast("double").alias("m")))
     w, h = float(b.x1 - b.x0), float(b.y1 - b.y0)
-    return max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * 3 * k / (math.pi * b.n)), max(w, h) / 4096, 1e-6)
+    size = max(math.sqrt(max(w, 1e-9) * max(h, 1e-9) * 3 * k / (math.pi * b.n)), 1e-6)
+    mean = lambda c: F.sum(F.col(c) * F.col(c)) / F.sum(c)
+    while size > 1e-6:
+        mates = places.groupBy(cell("x", size), cell("y", size)).agg(F.count("*").cast("double").alias("n")).agg(mean("n")).first()[0]
+        if mates <= 4 * k + 4:
+            break
+        size = max(size * max(0.01, math.sqrt(k / mates)), 1e-6)
+    return size, places.agg(mean("m")).first()[0] <= k + 1
+
+
+def _first_of_place(points: DataFrame, n: int) -> DataFrame:
+    """Of points on the same place the n of least id: no others can be among the n nearest of any."""
+    return points.withColumn("__nth", F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))).where(F.col("__nth") <= n).drop("__nth")
 
 
 def knn_join(queries: DataFrame, points: DataFrame, k: int, with_self: bool = False) -> DataFrame:
     """(id, other, d2, rank): the k nearest points of each query, by (d2, other).
 
-    Queries look into a ring of cells; those without k hits within the ring's safe distance look into one twice as wide,
-    until the ring covers all points. Most end in the first round. A query outside the points' bounds starts further."""
+    Queries look into the ring of cells around theirs; those without k hits within a cell's size, which the ring covers, look
+    again with larger cells, until a ring covers all points. Cells fit the density at most points, so most queries end in the
+    first round; in later ones few queries, that are then sent to all tasks, meet the points around them; the fewer they are,
+    the faster cells grow."""
     b = _bounds(points)
     if not b.n:
         return queries.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
-    size = _cell_size(b, k)
-    own = _own(points, size, "other")
+    size, even = _cell_size(points, b, k)
+    looked = points if even else checkpoint(_first_of_place(points.select("id", "x", "y"), k + 1))
     # the last ring reaches from any query over all points
     q = b if queries is points else _bounds(queries)
-    far = max(q.x1 - b.x0, b.x1 - q.x0, q.y1 - b.y0, b.y1 - q.y0) if q.n else 0
-    last = math.ceil(float(far) / size) + 1
-    open_, done, ring = queries.select("id", "x", "y"), None, 1
+    far = float(max(q.x1 - b.x0, b.x1 - q.x0, q.y1 - b.y0, b.y1 - q.y0)) if q.n else 0.0
+    open_, done, grow, few = queries.select("id", "x", "y"), None, 2, False
     by = Window.partitionBy("id").orderBy("d2", "other")
     while True:
-        d2 = squared("x", "y", "other_x", "other_y")
-        met = _around(open_, size, ring).join(own, ["cx", "cy"])
+        last = size > far
+        around = _around(open_, size)
+        met = _own(looked, size, "other").join(F.broadcast(around) if few else around, ["cx", "cy"]).withColumn("d2", squared("x", "y", "other_x", "other_y"))
         if not with_self:
             met = met.where(F.col("id") != F.col("other"))
-        found = met.select("id", "other", d2.alias("d2")).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-        if ring >= last:
+        if not last:  # what is further may be missing from the ring
+            met = met.where(F.col("d2") <= size * size)
+        found = met.select("id", "other", "d2").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+        if last:
             return found if done is None else done.union(found)
-        safe = (ring * size) ** 2
-        found = checkpoint(found.withColumn("closed", F.count_if((F.col("d2") <= safe)).over(Window.partitionBy("id")) >= k))
+        found = checkpoint(found.withColumn("closed", F.count("*").over(Window.partitionBy("id")) == k))
         good = found.where("closed").drop("closed")
         done = good if done is None else done.union(good)
         open_ = checkpoint(open_.join(good.select("id").distinct(), "id", "left_anti"))
-        if open_.isEmpty():
+        left = open_.count()
+        if not left:
             return done
-        ring = min(2 * ring, last)
+        size, grow, few = size * grow, 4 if left > 1000 else 16 if left > 20 else 1024, left <= FEW
 
 
 def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:

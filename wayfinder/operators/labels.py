@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .joins import box_match, knn_join
 
+#: Characters by which names and queries are joined.
+GRAM = 3
+
 
 def last_of_each(labels: DataFrame) -> DataFrame:
     """The last, by order, of labels(name, x, y, order) of equal names."""
@@ -15,9 +18,8 @@ def last_of_each(labels: DataFrame) -> DataFrame:
 
 def label_points(labels: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
     """(name, rank, node, d2): the k nodes nearest to labels(name, x, y), rank 1 the nearest."""
-    named = labels.withColumn("id", F.xxhash64("name"))
-    near = knn_join(named.select("id", "x", "y"), nodes, k, with_self=True)
-    return near.join(named.select("id", "name"), "id").select("name", "rank", F.col("other").alias("node"), "d2")
+    near = knn_join(labels.select(F.col("name").alias("id"), "x", "y"), nodes, k, with_self=True)
+    return near.select(F.col("id").alias("name"), "rank", F.col("other").alias("node"), "d2")
 
 
 def nested_labels(points: DataFrame) -> DataFrame:
@@ -44,17 +46,24 @@ def suggest(queries: DataFrame, index: DataFrame, points: DataFrame, n: int = 5)
 
 
 def contains(queries: DataFrame, names: DataFrame, n: int = 5) -> DataFrame:
-    """(q, name, rank): the first n names that hold the query, without an index; queries is a short list."""
+    """(q, name, rank): the first n names that hold the query, letters' case apart; an empty query is in all names.
+
+    Names meet queries over the query's first GRAM characters, or all if it has fewer, among their own runs of 1 to GRAM;
+    only the names that share them are compared."""
     by = Window.partitionBy("q").orderBy("name")
-    met = queries.select("q").join(names.select("name"), F.contains(F.lower("name"), F.lower("q")))
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+    key = F.lower("name")
+    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length(key) - 1, F.lit(0)))).alias("i")
+    runs = names.select("name", at).select("name", F.explode(F.array(*[F.substring(key, F.col("i") + 1, F.lit(g)) for g in range(GRAM + 1)])).alias("run")).distinct()
+    asked = queries.select("q", F.substring(F.lower("q"), 1, GRAM).alias("run"))
+    met = asked.join(runs, "run").where(F.contains(key, F.lower("q")))
+    return met.select("q", "name").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
 def route_ends(pairs: DataFrame, points: DataFrame, labelled: DataFrame, nodes: DataFrame, tolerance: float = 5.0) -> DataFrame:
     """(a, b, rank, source, target) of pairs(a, b) of names: the first rank at which both labels' points have a node within
     the tolerance; points(name, rank, x, y). Pairs without one have no row."""
-    p = points.withColumn("id", F.xxhash64("name", "rank"))
-    hit = p.join(box_match(p, nodes, tolerance), "id").select("name", "rank", F.col("other").alias("node"))
+    p = points.select(F.struct("name", "rank").alias("id"), "x", "y")
+    hit = box_match(p, nodes, tolerance).select("id.name", "id.rank", F.col("other").alias("node"))
     side = lambda n, v: hit.select(F.col("name").alias(n), "rank", F.col("node").alias(v))
     both = pairs.join(side("a", "source"), "a").join(side("b", "target"), ["b", "rank"])
     return both.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.min_by("source", "rank").alias("source"), F.min_by("target", "rank").alias("target"))

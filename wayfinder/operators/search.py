@@ -51,32 +51,36 @@ class _Adjacency:
     def search(self, source: int, target: int | None = None, bound: float = math.inf, ahead: list[float] | None = None) -> tuple[dict[int, tuple[float, int]], int]:
         """{node: (distance, previous)} in positions, and how many nodes were settled; ends at the target, or at the bound.
 
-        ahead holds a lower bound of each node's distance to the target."""
+        ahead holds a lower bound of each node's distance to the target. Of equally good ways to a node the one stands that
+        ends in the fewest steps without length, then the lesser predecessor: so previous nodes never go round."""
         at = int(np.searchsorted(self.names, source))
         if at >= len(self.names) or self.names[at] != source:
             return {}, 0
         to, w, start = self.lists()
-        best, done = {at: (0.0, -1)}, set()
-        heap = [(ahead[at] if ahead else 0.0, at)]
+        best, done = {at: (0.0, 0, -1)}, set()
+        heap = [(ahead[at] if ahead else 0.0, 0, at)]
         pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, u = pop(heap)
+            u = pop(heap)[2]
             if u in done:
                 continue
             done.add(u)
             if u == target:
                 break
-            d = best[u][0]
+            d, z, _ = best[u]
             for k in range(start[u], start[u + 1]):
                 v = to[k]
                 if v in done:
                     continue
                 new = d + w[k]
                 old = best.get(v)
-                if new <= bound and (old is None or new < old[0] or (new == old[0] and u < old[1])):
-                    best[v] = (new, u)
-                    push(heap, (new + ahead[v] if ahead else new, v))
-        return {v: x for v, x in best.items() if target is None or v in done}, len(done)
+                if new > bound or (old is not None and new > old[0]):
+                    continue
+                reach = (new, z + 1 if new == d else 0, u)
+                if old is None or reach < old:
+                    best[v] = reach
+                    push(heap, (new + ahead[v] if ahead else new, reach[1], v))
+        return {v: (d, p) for v, (d, _, p) in best.items() if target is None or v in done}, len(done)
 
 
 #: Gives for the names of a graph's nodes a function of a target's position: lower bounds of all nodes' distances to it.
@@ -107,7 +111,8 @@ def _small(edges: DataFrame) -> _Adjacency | None:
 def sssp(edges: DataFrame, sources: DataFrame, bound: float | None = None, distributed: bool | None = None) -> DataFrame:
     """(source, node, d, prev) for every node that a source of sources(source) reaches, within bound if there is one.
 
-    prev is the lesser of equally good predecessors, null at the source."""
+    prev is null at the source. Of equally good predecessors it is the one with the fewest steps without length at the end of
+    its way, then the lesser, so that following it always ends at the source."""
     graph = None if distributed else _small(edges)
     return _loop(edges, sources, bound) if graph is None else _local(graph, sources, bound)
 
@@ -126,34 +131,26 @@ def _local(graph: _Adjacency, sources: DataFrame, bound: float | None) -> DataFr
 
 
 def _loop(edges: DataFrame, sources: DataFrame, bound: float | None, steps: int = 3) -> DataFrame:
-    edges = edges.groupBy("src", "dst").agg(F.min("w").cast("double").alias("w"))
-    first = sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("prev"))
-    state = checkpoint(first)
-    frontier = state
-    while True:
-        new = frontier
-        reached = frontier
+    """sssp by joins: one frontier for all sources. z counts the steps without length that end a way."""
+    edges = checkpoint(edges.groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")))
+    state = frontier = checkpoint(sources.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("d"), F.lit(0).alias("z"), F.lit(None).cast("long").alias("prev")))
+    order = F.struct("d", "z", F.coalesce("prev", F.lit(-(2**63)).cast("long")).alias("p"), "prev")
+    columns = ["source", "node", "best.d", "best.z", "best.prev"]
+    while not frontier.isEmpty():
+        new = reached = frontier
         for _ in range(steps):
-            new = new.join(edges, new["node"] == edges["src"]).select("source", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d"), F.col("node").alias("prev"))
+            d = F.col("d") + F.col("w")
+            new = new.join(edges, new["node"] == edges["src"]).select("source", F.col("dst").alias("node"), d.alias("d"), F.when(d == F.col("d"), F.col("z") + 1).otherwise(0).alias("z"), F.col("node").alias("prev"))
             if bound is not None:
                 new = new.where(F.col("d") <= bound)
-            new = _least(new)
+            new = new.groupBy("source", "node").agg(F.min(order).alias("best")).select(*columns)
             reached = reached.union(new)
-        merged = checkpoint(_least(state.withColumn("old", F.lit(True)).unionByName(reached.withColumn("old", F.lit(False))), old=True))
-        frontier = merged.where("better").select("source", "node", "d", "prev")
-        state = merged.select("source", "node", "d", "prev")
-        if frontier.isEmpty():
-            return state
-
-
-def _least(df: DataFrame, old: bool = False) -> DataFrame:
-    key = F.struct("d", F.coalesce("prev", F.lit(-(2**63)).cast("long")).alias("p"), "prev")
-    best = F.min(key).alias("best")
-    if not old:
-        return df.groupBy("source", "node").agg(best).select("source", "node", "best.d", "best.prev")
-    was = F.min(F.when(F.col("old"), F.col("d"))).alias("was")
-    had = F.min(F.when(F.col("old"), key)).alias("had")
-    return df.groupBy("source", "node").agg(best, was, had).select("source", "node", "best.d", "best.prev", (F.col("had").isNull() | (F.col("best") < F.col("had"))).alias("better"))
+        both = state.withColumn("old", F.lit(True)).unionByName(reached.withColumn("old", F.lit(False)))
+        both = both.groupBy("source", "node").agg(F.min(order).alias("best"), F.min(F.when(F.col("old"), order)).alias("had"))
+        merged = checkpoint(both.select(*columns, (F.col("had").isNull() | (F.col("best") < F.col("had"))).alias("better")))
+        state = merged.drop("better")
+        frontier = merged.where("better").drop("better")
+    return state.drop("z")
 
 
 def _pairs(edges: DataFrame, queries: DataFrame, ahead: Ahead | None, search_by: Callable[[Ahead | None], Callable[[_Adjacency, int, int], tuple[float | None, list[int], int]]]) -> DataFrame:
