@@ -216,7 +216,13 @@ def optics_merge(v):
     return merge.optics_merge(v.pts, 5, 0.05, 0.005, 250.0).select("id", r4("x"), r4("y"))
 
 
-@query()
+_GREEDY = """earlier AS MATERIALIZED (SELECT src AS id, dst AS other FROM pairs WHERE dst < src),
+ st(id, seed) USING KEY (id) AS (SELECT id, 1 FROM pts WHERE id NOT IN (SELECT id FROM earlier) UNION (SELECT e.id, CASE WHEN max(r.seed) = 1 THEN 0 ELSE 1 END FROM earlier e LEFT JOIN recurring.st r ON r.id = e.other
+  WHERE e.id NOT IN (SELECT id FROM recurring.st) AND EXISTS (SELECT 1 FROM st) GROUP BY e.id HAVING max(r.seed) = 1 OR count(r.id) = count(*))),
+ members AS (SELECT s.id, p.dst AS other FROM st s JOIN pairs p ON p.src = s.id WHERE s.seed = 1 UNION ALL SELECT id, id FROM st WHERE seed = 1)"""
+
+
+@query(f"{_GREEDY} SELECT m.id, round(avg(p.x), 4) AS x, round(avg(p.y), 4) AS y, count(*) AS n FROM members m JOIN pts p ON p.id = m.other GROUP BY m.id", "pairs")
 def greedy_merge(v):
     return merge.greedy_merge(v.pts, 250.0).select("id", r4("x"), r4("y"), "n")
 
@@ -507,16 +513,43 @@ def walk_graph(v):
     return graph.walk_graph(v.pts, v.obst_edges, CELL).select("src", "dst", r4("w"))
 
 
-@query()
+def _seen(points: str, far: int) -> str:
+    """SQL: both directions of the 8 nearest of points(id, x, y) within far whose segment meets no obstacle's side."""
+    return f"""n8 AS MATERIALIZED (SELECT * FROM (SELECT a.id, b.id AS other, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.id) AS rank
+    FROM {points} a JOIN {points} b ON a.id <> b.id) WHERE rank <= 8 AND d2 <= {far * far}),
+    one AS MATERIALIZED (SELECT DISTINCT least(id, other) AS src, greatest(id, other) AS dst, CASE WHEN id < other THEN ax ELSE bx END AS ax, CASE WHEN id < other THEN ay ELSE by END AS ay, CASE WHEN id < other THEN bx ELSE ax END AS bx, CASE WHEN id < other THEN by ELSE ay END AS by, d2 FROM n8),
+    met AS (SELECT DISTINCT s.src, s.dst FROM one s JOIN obst_edges o ON {meet("s", "o")}),
+    free AS (SELECT src, dst, round(sqrt(d2), 4) AS w FROM one WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.src = one.src AND m.dst = one.dst))
+    SELECT src, dst, w FROM free UNION ALL SELECT dst, src, w FROM free"""
+
+
+_CORNERS = """pts AS MATERIALIZED (SELECT poly_id * 8 + i AS id, CAST(cx + ax * (h + 1.5) AS DOUBLE) AS x, CAST(cy + ay * (h + 1.5) AS DOUBLE) AS y FROM obst CROSS JOIN (VALUES (0,-1,-1),(1,1,-1),(2,1,1),(3,-1,1)) AS v(i,ax,ay)),
+ pairs AS MATERIALIZED (SELECT a.id AS src, b.id AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.id <> b.id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 81)"""
+_APART = "merged AS MATERIALIZED (SELECT label AS id, avg(x) AS x, avg(y) AS y FROM labelled WHERE label >= 0 GROUP BY label UNION ALL SELECT id, CAST(x AS DOUBLE), CAST(y AS DOUBLE) FROM labelled WHERE label < 0)"
+
+
+@query(f"{_CORNERS}, {_dbscan('a.x <> b.x AND a.y <> b.y', 1, 0)}, {_APART}, {_seen('merged', 2000)}", "obst_edges")
 def obstacle_graph(v):
     corners = rings(v).select("poly_id", F.posexplode(G.offset_ring(F.col("ring"), 1.5)).alias("i", "p")).select((F.col("poly_id") * 8 + F.col("i")).alias("id"), "p.x", "p.y")
     merged = merge.merge(corners, "dbscan")
     return graph.obstacle_graph(merged, v.obst_edges, CELL, 8, 2000.0).select("src", "dst", r4("w"))
 
 
-@query()
+@query(f"cells AS MATERIALIZED (SELECT CAST(floor(x/10.0) AS BIGINT) * 100000 + CAST(floor(y/10.0) AS BIGINT) AS id, avg(x) AS x, avg(y) AS y FROM pts GROUP BY 1), {_seen('cells', 1000)}", "pts", "obst_edges")
 def aware_graph(v):
-    return graph.obstacle_graph(merge.merge(v.pts, "grid"), v.obst_edges, CELL, 8, 1000.0).select("src", "dst", r4("w"))
+    cells = merge.grid_merge(v.pts).select((F.col("cx") * 100000 + F.col("cy")).alias("id"), "x", "y")
+    return graph.obstacle_graph(cells, v.obst_edges, CELL, 8, 1000.0).select("src", "dst", r4("w"))
+
+
+@query(
+    f"""{_dbscan('a.x <> b.x AND a.y <> b.y AND p.d2 <= 81', 1, 0)}, {_APART}
+    SELECT 'none' AS how, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM pts UNION ALL SELECT 'grid', round(avg(x), 4), round(avg(y), 4) FROM pts GROUP BY CAST(floor(x/10.0) AS BIGINT), CAST(floor(y/10.0) AS BIGINT)
+    UNION ALL SELECT 'dbscan', round(x, 4), round(y, 4) FROM merged""",
+    "pairs", "pts",
+)
+def merge_strategies(v):
+    one = lambda how: merge.merge(v.pts, how).select(F.lit(how).alias("how"), F.round(F.col("x").cast("double"), 4).alias("x"), F.round(F.col("y").cast("double"), 4).alias("y"))
+    return one("none").union(one("grid")).union(one("dbscan"))
 
 
 @query("SELECT y*21+x AS src, (y+dy)*21+x+dx AS dst, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414::DOUBLE ELSE 1.0::DOUBLE END AS w FROM range(21) a(x), range(21) b(y), (VALUES (-1),(0),(1)) c(dx), (VALUES (-1),(0),(1)) d(dy) WHERE (dx <> 0 OR dy <> 0) AND x+dx BETWEEN 0 AND 20 AND y+dy BETWEEN 0 AND 20")
@@ -657,7 +690,12 @@ def alt_lower_bound(v):
     return search.lower_bounds(v.asked.select("source", "target"), _marks(v))
 
 
-@query()
+_WALK = f"""{reach("edges", "SELECT DISTINCT source, source, 0::BIGINT FROM asked")},
+ prev AS MATERIALIZED (SELECT t.source, t.node, min(e.src) AS up FROM dist t JOIN edges e ON e.dst = t.node JOIN dist p ON p.source = t.source AND p.node = e.src AND p.d + e.w = t.d WHERE t.node <> t.source GROUP BY 1, 2),
+ walk(query_id, source, node, k) AS (SELECT a.query_id, a.source, a.target, 0 FROM asked a JOIN dist t ON t.source = a.source AND t.node = a.target UNION ALL SELECT w.query_id, w.source, p.up, w.k + 1 FROM walk w JOIN prev p ON p.source = w.source AND p.node = w.node)"""
+
+
+@query(f"{_WALK} SELECT query_id, CAST(max(k) OVER (PARTITION BY query_id) - k AS INTEGER) AS seq, node FROM walk", "edges", "asked")
 def path_nodes(v):
     return search.path_nodes(search.shortest_paths(v.edges, v.asked))
 
@@ -689,7 +727,23 @@ def attach_to_path(v):
     return route.attach(v.starts, v.routes, v.fences, SMALL_CELL).select("query_id", "seq", "tier")
 
 
-@query()
+def _attached(name: str, paths: str, points: str) -> str:
+    """SQL view: name(query_id, seq), the vertex of paths to which each of points attaches."""
+    return f"""{name}_pre AS (SELECT query_id, seq, x, y, sum(s) OVER (PARTITION BY query_id ORDER BY seq) AS prefix FROM (SELECT query_id, seq, x, y, coalesce(sqrt((x-lag(x) OVER w)*(x-lag(x) OVER w)+(y-lag(y) OVER w)*(y-lag(y) OVER w)), 0.0) AS s FROM {paths} WINDOW w AS (PARTITION BY query_id ORDER BY seq))),
+    {name}_m AS (SELECT r.*, p.x AS px, p.y AS py, sqrt((p.x-r.x)*(p.x-r.x)+(p.y-r.y)*(p.y-r.y)) AS far FROM {name}_pre r JOIN {points} p USING (query_id)),
+    {name}_s AS (SELECT query_id, seq, px AS ax, py AS ay, x AS bx, y AS by FROM {name}_m WHERE far <= 40), {name}_h AS (SELECT DISTINCT s.query_id, s.seq FROM {name}_s s JOIN fences o ON {meet("s", "o")}),
+    {name}_k AS (SELECT m.*, CASE WHEN far <= 40 AND h.seq IS NULL THEN 0 WHEN far <= 40 THEN 1 ELSE 2 END AS tier FROM {name}_m m LEFT JOIN {name}_h h ON h.query_id = m.query_id AND h.seq = m.seq),
+    {name} AS (SELECT query_id, seq FROM (SELECT query_id, seq, row_number() OVER (PARTITION BY query_id ORDER BY tier, CASE WHEN tier = 0 THEN far - prefix ELSE far END, seq) AS n FROM {name}_k) WHERE n = 1)"""
+
+
+_STITCHED = f"""tops AS (SELECT query_id, max(seq) AS last FROM routes GROUP BY query_id), turned AS (SELECT r.query_id, t.last - r.seq AS seq, r.x, r.y FROM routes r JOIN tops t USING (query_id)),
+ {_attached("onset", "routes", "starts")}, {_attached("finish", "turned", "goals")},
+ ij AS (SELECT o.query_id, o.seq AS i, t.last - f.seq AS j FROM onset o JOIN finish f USING (query_id) JOIN tops t USING (query_id)),
+ line AS (SELECT query_id, 0 AS part, 0 AS k, x, y FROM starts UNION ALL SELECT r.query_id, 1, CASE WHEN i <= j THEN r.seq ELSE -r.seq END, r.x, r.y FROM routes r JOIN ij USING (query_id) WHERE r.seq BETWEEN least(i, j) AND greatest(i, j) UNION ALL SELECT query_id, 2, 0, x, y FROM goals),
+ lagged AS (SELECT *, lag(x) OVER w AS lx, lag(y) OVER w AS ly FROM line WINDOW w AS (PARTITION BY query_id ORDER BY part, k))"""
+
+
+@query(f"{_STITCHED} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY part, k) - 1 AS INTEGER) AS seq, x, y FROM lagged WHERE lx IS NULL OR x <> lx OR y <> ly", "routes", "starts", "goals", "fences")
 def continuous_path(v):
     return route.continuous_paths(v.starts, v.goals, v.routes, v.fences, SMALL_CELL).select("query_id", "seq", "x", "y")
 
@@ -805,7 +859,11 @@ def debounce_queries(v):
     return live.run_to_end(live.debounced(s, "6 hours"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    """f AS (SELECT route_id, ts, x, y, coalesce(abs(y - 50.0) > 40.0, false) AS away FROM positions), g AS (SELECT *, away AND NOT coalesce(lag(away) OVER w, false) AS fresh FROM f WINDOW w AS (PARTITION BY route_id ORDER BY ts, x, y))
+    SELECT route_id, version, ts, x, y FROM (SELECT *, CAST(count(*) FILTER (fresh) OVER (PARTITION BY route_id ORDER BY ts, x, y ROWS UNBOUNDED PRECEDING) AS INTEGER) AS version FROM g) WHERE fresh""",
+    "positions",
+)
 def reroute_events(v):
     s = _stream(v).withColumn("d", F.abs(F.col("y") - 50.0))
     return live.run_to_end(live.reroutes(s.select("route_id", "ts", "x", "y", "d"), 40.0)).select("route_id", "version", F.col("ts").cast("timestamp_ntz").alias("ts"), "x", "y")
