@@ -10,11 +10,12 @@ from wayfinder.functions.geometry import project, unproject
 from wayfinder.operators.route import path_lengths
 from wayfinder.plans.build import Navigator, build_graph, straight
 from wayfinder.sources.features import from_geojson
+from wayfinder.sources.files import path_map
 
 X, Y = 648_000, 1_184_000
 
 
-def test_build_and_navigate(spark):
+def test_build_and_navigate(spark, tmp_path):
     block = [[X + 40, Y + 40], [X + 60, Y + 40], [X + 60, Y + 60], [X + 40, Y + 60], [X + 40, Y + 40]]
     road = [[X + 10 * i, Y + 20] for i in range(11)]
     docs = [
@@ -43,3 +44,22 @@ def test_build_and_navigate(spark):
     first = fresh.orderBy("seq").select(x.alias("x"), y.alias("y")).first()
     assert abs(first.x - X - 100) < 0.01 and abs(first.y - Y - 60) < 0.01
     assert network.edges.where(F.col("w") <= 0).isEmpty()
+    goals = spark.createDataFrame([(0, X + 50.0, Y + 92.0)], "query_id long, x double, y double")
+    seen = []
+    for k, (px, py) in enumerate([(X + 50.0, Y + 19.0), (X + 100.0, Y + 60.0)]):  # on the route, then away from it
+        at = spark.createDataFrame([(0, k, px, py)], "query_id long, event_id long, x double, y double").select("query_id", "event_id", F.timestamp_seconds(F.lit(k)).alias("ts"), la.alias("lat"), lo.alias("lon"))
+        at.coalesce(1).write.mode("append").parquet(str(tmp_path / "at"))
+    stream = spark.readStream.schema(at.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "at"))
+    nav.follow(stream, line, goals, lambda now, fresh, n: seen.append((n, now.first().off_route, fresh.count()))).awaitTermination()
+    assert [x[:2] for x in seen] == [(0, False), (1, True)] and seen[0][2] == 0 and seen[1][2] > 2
+
+
+def test_path_map(spark):
+    import pytest
+
+    paths = spark.createDataFrame([("a<b", 0, 1.0, 2.0), ("a<b", 1, 3.0, 5.0), ("c", 0, 0.0, 0.0)], "query_id string, seq int, x double, y double")
+    page = path_map(paths, "T")
+    assert page.count("<polyline") == 2 and "a&lt;b: 2 vertices" in page and "1.00,-2.00 3.00,-5.00" in page
+    assert "<svg" in path_map(paths.limit(0))
+    with pytest.raises(ValueError):
+        path_map(paths, most=2)

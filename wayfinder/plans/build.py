@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import after, offset_ring, project, squared, unproject
 from ..operators import graph, joins, labels, merge, report, route, search
 from ..operators.graph import SpatialGraph
-from ..session import checkpoint
+from ..session import checkpoint, shared_folder
 from ..sources import features as layers
 
 
@@ -79,6 +81,25 @@ class Navigator:
         fresh, _ = route.route(asked, self.graph.nodes, self.graph.edges, self.sides, self.size, self.landmarks)
         return now, fresh
 
+    def follow(self, positions: DataFrame, paths: DataFrame, goals: DataFrame, sink: Callable[[DataFrame, DataFrame, int], None], far: float = 20.0):  # noqa: ANN201
+        """A running query over the stream positions(query_id, event_id, ts, lat, lon): each micro-batch's last positions along
+        their routes, and new routes to the same goals for those that strayed, which they follow from then on.
+
+        sink gets the progress, the new routes' vertices and the batch's number. What it keeps of the vertices is what a
+        restart takes as paths."""
+        held = [paths.select("query_id", "seq", "x", "y")]
+
+        def batch(df: DataFrame, number: int) -> None:
+            last = df.groupBy("query_id").agg(F.max_by(F.struct("lat", "lon"), F.struct("ts", "event_id")).alias("p")).select("query_id", "p.*")
+            now, fresh = self.track(last, held[0], goals, far)
+            fresh = checkpoint(fresh)
+            kept = held[0].join(fresh.select("query_id").distinct(), "query_id", "left_anti")
+            held[0] = checkpoint(kept.unionByName(fresh.select("query_id", "seq", "x", "y")))
+            sink(now, fresh, number)
+
+        place = f"{shared_folder(self.sides.sparkSession).rstrip('/')}/follow-{uuid.uuid4().hex}"
+        return positions.writeStream.foreachBatch(batch).trigger(availableNow=True).option("checkpointLocation", place).start()
+
     def health(self) -> DataFrame:
         return graph.statistics(self.graph.nodes, self.graph.edges)
 

@@ -392,6 +392,14 @@ def geojson(v: Views) -> DataFrame:
     return o.union(li).union(p)
 
 
+@query("SELECT DISTINCT concat('layer ', p_partkey % 7) AS layer, CASE WHEN p_partkey % 7 = 0 THEN 'OGC:CRS84' ELSE concat('EPSG:', 25830 + p_partkey % 7) END AS crs FROM part")
+def layer_systems(v):
+    k = F.col("p_partkey") % 7
+    named = F.concat(F.lit('{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"urn:ogc:def:crs:EPSG::'), (k + 25830).cast("string"), F.lit('"}},"features":[]}'))
+    docs = v.table("part").select(F.concat(F.lit("layer "), k.cast("string")).alias("layer"), F.when(k == 0, '{"features":[]}').otherwise(named).alias("json"))
+    return features.systems(docs)
+
+
 @query(
     """SELECT layer, geom_type, sum(f)::BIGINT AS features, sum(p)::BIGINT AS parts, sum(n)::BIGINT AS points FROM (
     SELECT CASE WHEN poly_id % 2 = 0 THEN 'llyn_bygning_andre' ELSE 'llyn_bro' END AS layer, 'Polygon' AS geom_type, 1 AS f, 2 AS p, 9 AS n FROM obst UNION ALL SELECT 'fortove', 'LineString', 1, 1, 5 FROM starts

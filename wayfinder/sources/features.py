@@ -77,6 +77,14 @@ def read_layers(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return from_geojson(out)
 
 
+def systems(documents: DataFrame) -> DataFrame:
+    """(layer, crs) of documents(layer, json): the coordinate systems that they name, as authority:code, with the default of
+    GeoJSON for those that name none."""
+    name = F.get_json_object("json", "$.crs.properties.name")
+    code = F.concat_ws(":", F.regexp_extract(name, "([A-Z]+):[^:]*:?([A-Za-z0-9]+)$", 1), F.regexp_extract(name, ":([A-Za-z0-9]+)$", 1))
+    return documents.select("layer", F.when(name.isNull(), "OGC:CRS84").otherwise(code).alias("crs")).distinct()
+
+
 class _Layer(InputPartition):
     def __init__(self, name: str) -> None:
         self.name = name
@@ -98,13 +106,17 @@ class _Reader(DataSourceReader):
             with urllib.request.urlopen(url.replace("{layer}", partition.name), timeout=60) as r:
                 text = r.read().decode()
             json.loads(text)
-        except (OSError, ValueError):
-            return  # a layer that can't be fetched is left out
+        except (OSError, ValueError) as e:
+            if self.options.get("skip", "false").lower() == "true":
+                return
+            raise OSError(f"layer {partition.name} can't be read: {e}") from e
         yield partition.name, text
 
 
 class WfsSource(DataSource):
-    """spark.read.format("wfs").option("url", ...).option("layers", "a,b"): a row (layer, json) and a task for each layer."""
+    """spark.read.format("wfs").option("url", ...).option("layers", "a,b"): a row (layer, json) and a task for each layer.
+
+    A layer that can't be read fails the query, unless option skip is true: then it is left out."""
 
     @classmethod
     def name(cls) -> str:

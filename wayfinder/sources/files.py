@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from pathlib import Path
 
@@ -117,3 +118,22 @@ def path_geojson(paths: DataFrame) -> DataFrame:
     p = paths.select("query_id", F.struct("seq", F.array(F.round(lon, 6), F.round(lat, 6)).alias("at")).alias("v"))
     line = F.transform(F.array_sort(F.collect_list("v")), lambda v: v["at"])
     return p.groupBy("query_id").agg(F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))).alias("geometry"))
+
+
+def path_map(paths: DataFrame, title: str = "Paths", most: int = 100_000) -> str:
+    """A page that draws paths(query_id, seq, x, y), each in its own colour with its number of vertices.
+
+    A map is for looking at: it raises beyond `most` vertices instead of drawing some."""
+    rows = paths.select("query_id", "seq", "x", "y").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} vertices to draw")
+    lines: dict = {}
+    for r in sorted(rows, key=lambda r: (str(r.query_id), r.seq)):
+        lines.setdefault(r.query_id, []).append((float(r.x), -float(r.y)))
+    xs, ys = zip(*(p for line in lines.values() for p in line), strict=True) if rows else ((0.0,), (0.0,))
+    wide, high = max(max(xs) - min(xs), 1.0), max(max(ys) - min(ys), 1.0)
+    colour = lambda k: f"hsl({k * 137 % 360},70%,40%)"
+    drawn = "".join(f'<polyline fill="none" stroke="{colour(k)}" points="{" ".join(f"{x:.2f},{y:.2f}" for x, y in line)}"/>' for k, line in enumerate(lines.values()))
+    told = "".join(f'<li style="color:{colour(k)}">{html.escape(str(q))}: {len(line)} vertices</li>' for k, (q, line) in enumerate(lines.items()))
+    box = f"{min(xs) - wide / 20:.2f} {min(ys) - high / 20:.2f} {wide * 1.1:.2f} {high * 1.1:.2f}"
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><svg viewBox="{box}" width="900" stroke-width="{max(wide, high) / 300:.3f}">{drawn}</svg><ul>{told}</ul></body></html>'
