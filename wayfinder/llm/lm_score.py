@@ -132,35 +132,44 @@ def start(n: np.ndarray) -> dict[str, np.ndarray]:
     return p
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+def _log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities in place of z, and exp(z) over its rows' sums times those sums: what a gradient divides by them."""
+    ones = np.ones((z.shape[1], 1), z.dtype)
+    z -= z.max(initial=0.0)  # of all rows, which is fast; of each where that leaves a row nothing to add up
+    total = (e := np.exp(z)) @ ones
+    if len(z) and total.min() < 1e-20:
+        z -= z.max(1, keepdims=True)
+        total = (e := np.exp(z)) @ ones
+    z -= np.log(total)
+    return e, total
 
 
 def log_probabilities(p: dict[str, np.ndarray], tokens: np.ndarray, around: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """log P(token | neighbours) of each word; with grad, the gradient of their mean is written there."""
     n = len(tokens)
     c, m = tokens % CLASSES, tokens // CLASSES
-    order = np.argsort(c, kind="stable")  # words of a class side by side
+    order = np.argsort(c.astype(np.uint16), kind="stable")  # words of a class side by side; 16 bits are sorted by radix
     tokens, c, m, around = tokens[order], c[order], m[order], around[order]
     x = p["embed"][around].reshape(n, -1)
     h = np.tanh(x @ p["w1"] + p["b1"])
-    lc = _log_softmax(h @ p["wc"] + p["bc"])
+    lc = h @ p["wc"] + p["bc"]
+    ec, sc = _log_softmax(lc)
     rows = np.arange(n)
     ends = np.searchsorted(c, np.arange(CLASSES + 1))
     lm = np.empty((n, PLACES), h.dtype)
     for k in range(CLASSES):
         a, b = ends[k], ends[k + 1]
         if b > a:
-            lm[a:b] = _log_softmax(h[a:b] @ p["wm"][k] + p["bm"][k])
+            np.matmul(h[a:b], p["wm"][k], out=lm[a:b])
+            lm[a:b] += p["bm"][k]
+    em, sm = _log_softmax(lm)
     got = lc[rows, c] + lm[rows, m]
     if grad is not None:
-        dc, dm = -np.exp(lc), -np.exp(lm)
-        dc[rows, c] += 1
-        dm[rows, m] += 1
-        dc /= n
-        dm /= n
+        dc, dm = ec, em  # (1 at the word - probability) / n
+        dc /= -n * sc
+        dm /= -n * sm
+        dc[rows, c] += 1 / n
+        dm[rows, m] += 1 / n
         grad["wc"], grad["bc"] = h.T @ dc, dc.sum(0)
         dh = dc @ p["wc"].T
         grad["wm"], grad["bm"] = np.zeros_like(p["wm"]), np.zeros_like(p["bm"])
@@ -172,7 +181,7 @@ def log_probabilities(p: dict[str, np.ndarray], tokens: np.ndarray, around: np.n
         dh *= 1 - h * h
         grad["w1"], grad["b1"] = x.T @ dh, dh.sum(0)
         dx = (dh @ p["w1"].T).reshape(-1, WIDTH)
-        flat = around.ravel()
+        flat = around.ravel().astype(np.uint16)
         by = np.argsort(flat, kind="stable")
         names, first = np.unique(flat[by], return_index=True)
         grad["embed"] = np.zeros_like(p["embed"])
