@@ -504,6 +504,27 @@ def test_next_rows_over_many_ranges(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:], strict=False)} | {order[-1]: "none", None: f"t{order[0]}"}
 
 
+def test_next_rows_of_ids_that_fill_ranges(spark, monkeypatch):
+    """A third of the rows have no id, a third one id; all rows form one ring in descending ids."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
+    r = random.Random(5)
+    rows = [(None, f"n{k}") for k in range(100)] + [(500, f"s{k}") for k in range(100)] + [(i, f"t{i}") for i in r.sample(range(1000), 100) if i != 500]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = fingerprints.with_next(df, ["text", "doc_id"]).collect()
+    after = {x.text: x.next_text for x in out}
+    assert len(out) == len(rows) == len(after) == len(set(after.values()))
+    ring, at = [], max((i, t) for i, t in rows if i is not None)[1]
+    for _ in rows:
+        ring.append(at)
+        at = after[at]
+    ids = {t: i for i, t in rows}
+    assert at == ring[0] and sorted(ring) == sorted(ids)
+    got = [ids[t] for t in ring]
+    assert got == sorted(got, key=lambda i: (i is None, -(i or 0)))
+    # texts of one id by their hash; ranges hold few rows each
+    assert len({x.doc_id for x in out if x.doc_id == 500 and x.next_doc_id == 500}) == 1
+
+
 def test_fingerprints_feel_order(spark):
     w = words(600, 1, 10**6)
     half = w[300:] + w[:300]

@@ -11,6 +11,7 @@ the text's length; the low bits of ranks only give way to places for sorting."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,27 +104,47 @@ def _range_of(doc_id: Column, cuts: list[int]) -> Column:
     return F.when(doc_id.isNull(), -1).otherwise(within).cast("int")
 
 
+def _parts_of(doc_id: Column, hashed: Column, often: dict[int | None, int]) -> Column:
+    """Which of its id's parts a row is in: 0 for ids that fill no range, else 1 and on, in the order of the texts' hashes."""
+    at = (hashed.cast("double") + 2.0**63) / 2.0**64
+    out = F.lit(0)
+    for x, n in often.items():
+        out = F.when(doc_id.isNull() if x is None else doc_id == x, F.least(F.floor(at * n).cast("int"), F.lit(n - 1)) + 1).otherwise(out)
+    return out
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs(doc_id, text, ...) with next_<c> of the next row, in descending doc_id, for each of the columns; after the last
-    comes the first. Equal ids go by text, null ids come last.
-
-    Ids are cut into ranges of about RANGE_ROWS rows at approximate quantiles, so rows move once, to their range. The
-    first row of a range is also sent, as a guest, to the end of the range before it."""
-    ids = docs.select("doc_id")
-    n = min(MOST_RANGES, -(-ids.count() // RANGE_ROWS))
+    comes the first. Equal ids go by the hash of the text, then the text; null ids come last.
+
+    Ids are cut into ranges of about RANGE_ROWS rows at approximate quantiles, so rows move once, to their range. An id that
+    fills ranges by itself, or null, is cut further by the texts' hashes. The first row of a range is also sent, as a guest,
+    to the end of the range before it."""
+    hashed = F.xxhash64("text")
+    c = docs.select("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    n = min(MOST_RANGES, -(-c.n // RANGE_ROWS))
     cuts: list[int] = []
+    often: dict[int | None, int] = {}
     if n > 1:
-        found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first().q
-        cuts = sorted({int(x) for x in found or []})
-    part = _range_of(F.col("doc_id"), cuts)
-    tops = ids.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top"))  # a row per range
-    order = Window.orderBy(F.col("part").desc())
-    guests = tops.select("top", F.coalesce(F.lag("part").over(order), F.min("part").over(Window.partitionBy())).alias("dest"), F.lit(True).alias("is_top"))
-    rows = docs.withColumn("part", part).join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("top")), "left")
+        found = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first().q
+        found = [int(x) for x in found or []]
+        cuts = sorted(set(found))
+        # quantiles that repeat an id say how many ranges it fills; there are at most n of them
+        often = {x: k for x, k in Counter(found).items() if k > 1}
+        if c.nulls > RANGE_ROWS:
+            often[None] = min(MOST_RANGES, -(-c.nulls // RANGE_ROWS))
+    spread = F.struct(_range_of(F.col("doc_id"), cuts).alias("a"), _parts_of(F.col("doc_id"), hashed, often).alias("b"))
+    # ranges in their order, and rows in theirs
+    part = let(spread, lambda x: F.struct((-x["a"]).alias("a"), x["b"].alias("b")))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("down"), hashed.alias("h"))
+    tops = docs.select(part.alias("part"), key.alias("key")).groupBy("part").agg(F.min("key").alias("top"))  # a row per range
+    order = Window.orderBy("part")
+    guests = tops.select("top", F.coalesce(F.lag("part").over(order), F.max("part").over(Window.partitionBy())).alias("dest"), F.lit(True).alias("is_top"))
+    rows = docs.withColumn("part", part).withColumn("key", key).join(F.broadcast(guests), F.col("key") == F.col("top"), "left")
     own = F.struct("part", F.lit(0).alias("guest"))
     places = F.when(F.col("is_top"), F.array(own, F.struct(F.col("dest").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(own))
-    rows = rows.select(*docs.columns, F.explode(places).alias("place")).select(*docs.columns, "place.part", "place.guest")
-    w = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    rows = rows.select(*docs.columns, "key", F.explode(places).alias("place")).select(*docs.columns, "key", "place.part", "place.guest")
+    w = Window.partitionBy("part").orderBy("guest", "key", "text")
     return rows.select(*docs.columns, "guest", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest")
 
 
