@@ -640,6 +640,17 @@ def toxic_rows(n, seed):
         yield " ".join(w), int(bad)
 
 
+def test_swaps_stay_in_their_language():
+    """Terms after line breaks and next to marks are swapped too, for another one of their language; all else stays."""
+    for at in range(40):
+        new = toxicity.swapped("The women\nand MUSLIMS, they said.\tFrauen!", at)
+        a, b, c = re.fullmatch(r"The (\w+)\nand (\w+), they said.\t(\w+)!", new).groups()
+        assert a in toxicity.IDENTITY["en"] and b in toxicity.IDENTITY["en"] and c in toxicity.IDENTITY["de"] and a != "women" and b != "muslims" and c != "frauen"
+        put = toxicity.swapped("one two three", at).split()
+        assert len(put) == 4 and [w for w in put if w not in toxicity._LANGUAGE] == ["one", "two", "three"]
+    assert len(toxicity.swapped("", 0).split()) == 1
+
+
 def test_toxicity_learns_and_ignores_identity(docs, empty, texts):
     model = toxicity.fit(list(toxic_rows(1500, 0)))
     test = list(toxic_rows(300, 1))

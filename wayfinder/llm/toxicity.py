@@ -7,6 +7,7 @@ the squared change of the score is penalised, so a mere mention of a group doesn
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +25,15 @@ L1, SWAP = 2e-4, 1.0
 BITS = 20
 DIMS = 1 << BITS
 PREFIXES = (4, 5, 6)
-#: Identity terms that the counterfactuals swap.
-IDENTITY = (
-    "women men girls boys muslims muslim christians christian jews jewish hindus buddhists atheists gay lesbian bisexual transgender straight black white asian latino african european american arab "
-    "mexican indian chinese immigrants refugees disabled deaf blind elderly young frauen männer muslime christen juden schwule lesben ausländer flüchtlinge behinderte femmes hommes musulmans chrétiens juifs "
-    "gays lesbiennes noirs blancs immigrés réfugiés handicapés mujeres hombres musulmanes cristianos judíos gais lesbianas negros blancos inmigrantes refugiados discapacitados"
-).split()
+#: Identity terms that the counterfactuals swap, by language.
+IDENTITY = {
+    "en": "women men girls boys muslims muslim christians christian jews jewish hindus buddhists atheists gay lesbian bisexual transgender straight black white asian latino african european american arab mexican indian chinese immigrants refugees disabled deaf blind elderly young".split(),
+    "de": "frauen männer muslime christen juden schwule lesben ausländer flüchtlinge behinderte".split(),
+    "fr": "femmes hommes musulmans chrétiens juifs gays lesbiennes noirs blancs immigrés réfugiés handicapés".split(),
+    "es": "mujeres hombres musulmanes cristianos judíos gais lesbianas negros blancos inmigrantes refugiados discapacitados".split(),
+}
+_LANGUAGE = {w: words for words in IDENTITY.values() for w in words}
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +90,25 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def swapped(text: str, at: int) -> str:
-    """The text with every identity term replaced by another, or, if it has none, with one before its middle word."""
-    words = text.split(" ")
-    known = set(IDENTITY)
-    hits = [i for i, w in enumerate(words) if w.lower().strip(".,;:!?") in known]
-    if not hits:
-        hits = [len(words) // 2]
-        words.insert(hits[0], "")
-    for k, i in enumerate(hits):
-        words[i] = IDENTITY[(at * 7 + k * 11) % len(IDENTITY)]
-    return " ".join(words)
+    """The text with every identity term replaced by another of its language, or, if it has none, with one put into its
+    middle. `at` says which."""
+    hits = 0
+
+    def other(m: re.Match[str]) -> str:
+        nonlocal hits
+        words = _LANGUAGE.get(m.group().lower())
+        if words is None:
+            return m.group()
+        hits += 1
+        return words[(words.index(m.group().lower()) + 1 + (at * 7 + hits * 11) % (len(words) - 1)) % len(words)]
+
+    new = _LETTERS.sub(other, text)
+    if hits:
+        return new
+    words = list(IDENTITY.values())[at % len(IDENTITY)]
+    space = re.compile(r"\s").search(text, len(text) // 2)
+    middle = space.start() if space else len(text)
+    return f"{text[:middle]} {words[at * 7 % len(words)]} {text[middle:]}"
 
 
 def _all_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
