@@ -567,6 +567,14 @@ def test_html_odd_layouts():
         assert html_extract.main_text(page, html_extract.trained()) == want, page
 
 
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html_extract.main_text("<article>" + "<div>" * 40_000 + "</span>" * 40_000 + "deep</article>", html_extract.trained()) == "deep"
+    assert time.process_time() - began < 20
+
+
 def test_html_tree_on_pages_it_has_not_seen():
     """The text of 200 generated pages is that of their words that begin with c, by a plain reading of the markup."""
     tree, right = html_extract.trained(), 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -112,6 +113,11 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
     linked: list[int] = []
     in_link = 0
     place = root
+    opened: Counter[str] = Counter()  # elements on the stack by tag: an end tag of none needs no search
+
+    def close(k: int) -> None:
+        opened.subtract(f.tag for f in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         nonlocal text, linked
@@ -146,10 +152,10 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if tag not in INLINE:
             flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     if tag not in INLINE or all(f.tag in INLINE for f in stack[k:]):
-                        del stack[k:]
+                        close(k)
                     break
             if tag == "a":
                 in_link = max(0, in_link - 1)
@@ -159,9 +165,9 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if tag in VOID:
             continue
         for other in _CLOSES.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[other] else ():
                 if stack[k].tag == other:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in _SCOPE:
                     break
@@ -169,6 +175,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         if attributes.rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
         stack.append(_Frame(tag, stack[-1], attributes))
+        opened[tag] += 1
         if tag == "a":
             in_link += 1
         if tag in RAW:
