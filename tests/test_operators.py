@@ -471,3 +471,10 @@ def test_streams(spark, tmp_path):
     paths = lines(spark, {7: [(0, 0), (20, 0)], 8: [(0, 0), (8, 0)]})
     live.progress(spark, stream(), paths, lambda df, n: seen.extend(df.collect())).awaitTermination()
     assert {(r.query_id, r.traveled, r.remaining) for r in seen} == {(7, 9, 11), (8, 4, 4)}
+
+
+def test_windows_leave_their_rows_in_files(spark, tmp_path):
+    spark.range(300).select((F.col("id") % 90).alias("route_id"), F.timestamp_seconds(1704067200 + F.col("id") * 60).alias("ts")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = live.run_to_end(live.windows(live.as_stream(spark, str(tmp_path), "events")), "complete")
+    assert got.inputFiles() and got.agg(F.sum("n")).first()[0] == 300  # a table in the driver's memory has no files
+
