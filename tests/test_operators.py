@@ -478,3 +478,10 @@ def test_windows_leave_their_rows_in_files(spark, tmp_path):
     got = live.run_to_end(live.windows(live.as_stream(spark, str(tmp_path), "events")), "complete")
     assert got.inputFiles() and got.agg(F.sum("n")).first()[0] == 300  # a table in the driver's memory has no files
 
+
+def test_debounced_leave_their_rows_in_files(spark, tmp_path):
+    spark.range(200).select((F.col("id") % 2).alias("session_id"), F.timestamp_seconds(1704067200 + F.col("id") * 60).alias("ts"), F.col("id").cast("string").alias("q")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = live.run_to_end(live.debounced(live.as_stream(spark, str(tmp_path), "events"), "3 minutes"), "complete")
+    assert got.inputFiles() and {(r.session_id, r.q) for r in got.collect()} == {(0, "198"), (1, "199")}
+    none = live.run_to_end(live.as_stream(spark, str(tmp_path), "events").where("session_id > 5"))
+    assert none.count() == 0 and none.columns == ["session_id", "ts", "q"]
