@@ -485,3 +485,60 @@ def test_debounced_leave_their_rows_in_files(spark, tmp_path):
     assert got.inputFiles() and {(r.session_id, r.q) for r in got.collect()} == {(0, "198"), (1, "199")}
     none = live.run_to_end(live.as_stream(spark, str(tmp_path), "events").where("session_id > 5"))
     assert none.count() == 0 and none.columns == ["session_id", "ts", "q"]
+
+
+def _links(rows, radius, reference):
+    return {(i, j) for (i, x, y), (j, u, v) in itertools.permutations(rows, 2) if (x - u) ** 2 + (y - v) ** 2 <= radius**2 and not (reference and (x == u or y == v))}
+
+
+def _naive_components(ids, links):
+    least = {i: i for i in ids}
+    while True:
+        new = dict(least)
+        for a, b in links:
+            new[a] = min(new[a], new[b], least[b])
+        if new == least:
+            return least
+        least = new
+
+
+@pytest.mark.parametrize(("reference", "n", "wide", "radius", "seed"), [(False, 70, 40, 5.0, 1), (True, 90, 12, 4.0, 2), (True, 60, 4, 9.0, 3)])
+def test_components_and_clusters_without_pairs(spark, reference, n, wide, radius, seed):
+    r = random.Random(seed)
+    rows = [(i, float(r.randrange(wide)), float(r.randrange(max(2, wide // (1 + seed % 2 * 9))))) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    links = _links(rows, radius, reference)
+    assert {x.node: x.component for x in graph.radius_components(df, radius, reference).collect()} == _naive_components(range(n), links)
+    count = {i: sum(a == i for a, _ in links) for i in range(n)}
+    assert {x.id for x in graph.crowded(df, radius, 4, reference).collect()} == {i for i in count if count[i] >= 4}
+    if not reference:
+        assert {x.id for x in merge.without_outliers(df, radius, 5).collect()} == {i for i in count if count[i] >= 4}
+    core = {i for i in count if count[i] >= 3}
+    label = _naive_components(core, {(a, b) for a, b in links if a in core and b in core})
+    want = {i: label.get(i, min((label[b] for a, b in links if a == i and b in core), default=-1)) for i in range(n)}
+    got = merge.dbscan_labels(df, radius**0.5 if reference else radius, 3 if reference else 4, reference)
+    assert {x.id: x.label for x in got.collect()} == want
+
+
+def test_rows_of_points_that_share_an_axis(spark):
+    """A cross and a corner, where reference mode links little, and two far groups whose nearest points aren't the outermost."""
+    for rows in ([(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 0, 1), (4, 0, 2)], [(0, 5, 5), (1, 6, 6), (2, 5, 6), (3, 5, 7)], [(0, 1, 1), (1, 1, 1), (2, 1, 2)]):
+        df = spark.createDataFrame([(i, float(x), float(y)) for i, x, y in rows], "id long, x double, y double")
+        assert {x.node: x.component for x in graph.radius_components(df, 9.0, True).collect()} == _naive_components([i for i, *_ in rows], _links(rows, 9.0, True))
+    rows = [(0, 0.0, 0.0), (1, 6.0, 6.9), (2, 6.0, 0.0), (3, 14.5, 0.0), (4, 16.0, 6.9), (5, 20.0, 3.0)]
+    df = spark.createDataFrame([(i, x, y) for i, x, y in rows], "id long, x double, y double")
+    assert {x.node: x.component for x in graph.radius_components(df, 10.0).collect()} == _naive_components(range(6), _links(rows, 10.0, False))
+
+
+def test_dense_points_make_few_pairs(spark, monkeypatch):
+    df = spark.range(3000).select("id", ((F.col("id") * 7) % 61 / 10).alias("x"), ((F.col("id") * 11) % 53 / 10).alias("y"))
+    plain = joins.radius_join
+
+    def few(*args):
+        assert plain(*args).count() <= 30 * 3000, "all pairs were made"
+        return plain(*args)
+
+    monkeypatch.setattr(joins, "radius_join", few)
+    monkeypatch.setattr(merge, "radius_join", few)
+    assert {r.label for r in merge.dbscan_labels(df, 10.0, 4).collect()} == {0}
+    assert merge.without_outliers(df, 10.0, 12).count() == 3000
