@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cell
 from ..session import checkpoint
-from .graph import components
+from .graph import crowded, radius_components
 from .joins import radius_join
 
 
@@ -35,14 +35,12 @@ def dbscan_labels(points: DataFrame, eps: float, least: int, reference: bool = F
 
     A core point has `least` points within eps, itself counted; in reference mode eps is squared and a point doesn't count
     itself. A border point joins the cluster with the least label among its core neighbours'."""
-    pairs = checkpoint(radius_join(points, points, eps * eps if reference else eps, reference).select("id", "other"))
-    degree = points.select("id").join(pairs.groupBy("id").agg(F.count("*").alias("n")), "id", "left").select("id", (F.coalesce("n", F.lit(0)) + (0 if reference else 1)).alias("n"))
-    core = degree.where(F.col("n") >= least).select("id")
-    from_core = pairs.join(core, "id", "left_semi")
-    inner = from_core.join(core.withColumnRenamed("id", "other"), "other", "left_semi")
-    label = components(core, inner.select(F.col("id").alias("src"), F.col("other").alias("dst"))).select(F.col("node").alias("id"), F.col("component").alias("label"))
-    label = checkpoint(label)
-    border = from_core.join(label, "id").groupBy("other").agg(F.min("label").alias("border")).withColumnRenamed("other", "id")
+    radius = eps * eps if reference else eps
+    core = checkpoint(points.join(crowded(points, radius, least - (0 if reference else 1), reference), "id", "left_semi").select("id", "x", "y"))
+    label = checkpoint(radius_components(core, radius, reference).select(F.col("node").alias("id"), F.col("component").alias("label")))
+    # points that aren't core are few in any cell, so their pairs are in proportion to points
+    rest = points.join(core, "id", "left_anti")
+    border = radius_join(rest, core, radius, reference).join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("border"))
     return points.select("id").join(label, "id", "left").join(border, "id", "left").select("id", F.coalesce("label", "border", F.lit(-1)).cast("long").alias("label"))
 
 
@@ -95,8 +93,7 @@ def density_grid(points: DataFrame, bins: int = 30) -> DataFrame:
 
 def without_outliers(points: DataFrame, radius: float = 500.0, least: int = 5) -> DataFrame:
     """The points with at least `least` points, themselves counted, within the radius."""
-    near = radius_join(points, points, radius).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least)
-    return points.join(near, "id", "left_semi") if least > 1 else points
+    return points.join(crowded(points, radius, least - 1), "id", "left_semi")
 
 
 def optics_merge(points: DataFrame, least: int = 16, xi: float = 0.05, share: float = 0.01, reach: float = 50.0) -> DataFrame:
@@ -107,8 +104,7 @@ def optics_merge(points: DataFrame, least: int = 16, xi: float = 0.05, share: fl
     import numpy as np
     import pandas as pd
 
-    pairs = radius_join(points, points, reach)
-    label = components(points.select("id"), pairs.select(F.col("id").alias("src"), F.col("other").alias("dst")))
+    label = radius_components(points, reach)
     total = points.count()
     need = max(least, int(share * total))
 
