@@ -542,3 +542,46 @@ def test_dense_points_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(merge, "radius_join", few)
     assert {r.label for r in merge.dbscan_labels(df, 10.0, 4).collect()} == {0}
     assert merge.without_outliers(df, 10.0, 12).count() == 3000
+
+
+def test_ring_hits_and_ends_inside_rings(spark):
+    r = random.Random(8)
+    boxes = {i: (r.uniform(0, 60), r.uniform(0, 60), r.uniform(1, 5)) for i in range(40)}
+    corners = {i: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)] for i, (x, y, h) in boxes.items()}
+    rings = spark.createDataFrame([(i, [{"x": x, "y": y} for x, y in c]) for i, c in corners.items()], f"poly_id long, ring {G.RING}")
+    lines_ = [(k, r.uniform(0, 60), r.uniform(0, 60), r.uniform(0, 60), r.uniform(0, 60)) for k in range(60)]
+    seg = spark.createDataFrame(lines_, "id long, ax double, ay double, bx double, by double")
+    every = seg.crossJoin(rings).where(G.meets_ring(G.point("ax", "ay"), G.point("bx", "by"), F.col("ring"))).select("id", "poly_id").collect()
+    assert {tuple(x) for x in joins.ring_hits(seg, rings, 10.0).collect()} == {tuple(x) for x in every}
+    sides = rings.select("poly_id", F.explode(G.ring_sides(F.col("ring"))).alias("s")).select("poly_id", "s.*")
+    tiny = spark.createDataFrame([(k, a, b, a + 0.01, b) for k, a, b, *_ in lines_], seg.schema)
+    found = graph.near_obstacle(tiny, sides, 10.0, 0.001)
+    inside = {k for k, a, b, *_ in lines_ if any(abs(a - x) < h and abs(b - y) < h for x, y, h in boxes.values())}
+    assert inside and {x.id for x in found.collect()} >= inside
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("cx#" in x for x in plan.splitlines() if "Join" in x and "cy#" in x), "ends meet all rings of a row of cells"
+
+
+def test_searches_of_one_file_go_to_all_tasks(spark, network):
+    _, nodes, edges = network
+    q = spark.createDataFrame([(k, k, 119 - k) for k in range(40)], "query_id long, source long, target long").coalesce(1)
+    marks = search.landmark_distances(edges, search.select_landmarks(nodes, 8))
+    for run in (search.shortest_paths(edges, q), search.bidirectional_paths(edges, q), search.bidirectional_paths(edges, q, search.landmark_ahead(marks))):
+        assert run.rdd.getNumPartitions() > 1
+
+
+def test_visited_counts_equal_those_of_the_tree(spark, network):
+    _, _, edges = network
+    ends = spark.createDataFrame([(k, (k * 37 + 11) % 120) for k in range(20)] + [(5, 5), (3, 99999)], "source long, target long")
+    want = {tuple(x) for x in search.nodes_visited(search.sssp(edges, ends.select("source").distinct()), ends).collect()}
+    assert want and {tuple(x) for x in search.visited_counts(edges, ends).collect()} == want
+
+
+def test_landmarks_of_edges_that_come_by_a_shuffle(spark, network, monkeypatch):
+    _, _, edges = network
+    sources = spark.createDataFrame([(k,) for k in (0, 5, 17, 80, 99999)], "source long")
+    want = {tuple(x) for x in search.sssp(edges, sources.where("source < 200"), distributed=True).collect()}
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    monkeypatch.setattr(search, "_loop", None)
+    assert {tuple(x) for x in search.sssp(edges, sources).collect()} == want
+    assert {tuple(x) for x in search._middle(edges, [0, 5, 17, 80], None, each=1).collect()} == want

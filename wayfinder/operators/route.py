@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import projection, squared, unproject
+from ..session import checkpoint
 from . import joins, search
 
 
@@ -73,7 +74,7 @@ def route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, sides: DataFra
     ends = {e: joins.nearest(queries.select(F.col("query_id").alias("id"), F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")), nodes).select(F.col("id").alias("query_id"), F.col("other").alias(n)) for e, n in (("s", "source"), ("t", "target"))}
     asked = ends["s"].join(ends["t"], "query_id")
     found = search.alt_paths(edges, asked, landmarks) if landmarks is not None else search.shortest_paths(edges, asked)
-    found = found.where("path IS NOT NULL")
+    found = checkpoint(found.where("path IS NOT NULL"))
     lines = search.path_nodes(found).join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").select("query_id", "seq", "x", "y")
     point = lambda e: queries.join(found.select("query_id"), "query_id", "left_semi").select("query_id", F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"))
     full = continuous_paths(point("s"), point("t"), lines, sides, size, radius)
