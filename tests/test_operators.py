@@ -574,7 +574,14 @@ def test_visited_counts_equal_those_of_the_tree(spark, network):
     _, _, edges = network
     ends = spark.createDataFrame([(k, (k * 37 + 11) % 120) for k in range(20)] + [(5, 5), (3, 99999)], "source long, target long")
     want = {tuple(x) for x in search.nodes_visited(search.sssp(edges, ends.select("source").distinct()), ends).collect()}
-    assert want and {tuple(x) for x in search.visited_counts(edges, ends).collect()} == want
+    got = search.visited_counts(edges, ends)
+    assert want and {tuple(x) for x in got.collect()} == want
+    many = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many as _dealt asks for, where Spark would drop its exchange
+    spark.conf.set("spark.sql.shuffle.partitions", 2 * spark.sparkContext.defaultParallelism)
+    try:
+        assert search.visited_counts(edges, ends).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", many)
 
 
 def test_landmarks_of_edges_that_come_by_a_shuffle(spark, network, monkeypatch):
