@@ -8,6 +8,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +167,25 @@ def test_optics_separates_dense_groups(spark):
     assert any(abs(p.x - 5) < 0.1 and p.y == 40 for p in got) and len(got) < 61
 
 
+@pytest.mark.parametrize("kind", ["even", "lattice", "clusters", "line"])
+@pytest.mark.parametrize("least", [1, 4, 16])
+def test_optics_order_equals_that_of_all_distances(kind, least):
+    r = np.random.default_rng(least)
+    xy = {"even": r.uniform(0, 100, (300, 2)), "lattice": r.integers(0, 15, (300, 2)).astype(float), "clusters": np.concatenate([r.normal(c, s, (100, 2)) for c, s in ((0, 1), (20, 5), (60, 0.2))]), "line": np.stack([np.arange(300) * 3.0, np.zeros(300)], 1)}[kind]
+    far = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
+    core = np.partition(far, least - 1, axis=1)[:, least - 1]
+    reached, open_, run = np.full(300, np.inf), np.ones(300, bool), []
+    for _ in range(300):
+        i = int(np.flatnonzero(open_)[reached[open_].argmin()])
+        open_[i] = False
+        run.append(i)
+        reached = np.where(open_, np.minimum(reached, np.maximum(core[i], far[i])), reached)
+    near = np.argsort(far + np.diag(np.full(300, np.inf)), axis=1, kind="stable")
+    for known in (near[:, : max(2, least - 1)], near[:, :20], near[:, :299]):
+        got, at = merge._reachability(xy, known, least, 100.0)
+        assert got.tolist() == run and at.tolist() == reached[run].tolist()
+
+
 def test_density_integrates_to_one(spark):
     _, df = points(spark, 200, 5)
     b = report.bounds(df).first()
