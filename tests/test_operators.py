@@ -612,3 +612,26 @@ def test_landmarks_of_edges_that_come_by_a_shuffle(spark, network, monkeypatch):
     monkeypatch.setattr(search, "_loop", None)
     assert {tuple(x) for x in search.sssp(edges, sources).collect()} == want
     assert {tuple(x) for x in search._middle(edges, [0, 5, 17, 80], None, each=1).collect()} == want
+
+
+def test_pairs_of_edges_that_come_by_a_shuffle(spark, network, monkeypatch):
+    _, nodes, edges = network
+    asked = [(k, k, (k * 37 + 11) % 120) for k in range(40)] + [(90, 5, 5), (91, 3, 100000), (92, 100000, 3), (93, 100000, 100000)]
+    q = spark.createDataFrame(asked, "query_id long, source long, target long")
+    oneway = edges.where("src < dst OR src % 3 > 0")
+    marks = search.landmark_distances(edges, search.select_landmarks(nodes, 8)).cache()
+    runs = {
+        "dijkstra": lambda: search.shortest_paths(edges, q), "astar": lambda: search.astar_paths(edges, nodes, q, 100.0), "alt": lambda: search.alt_paths(edges, q, marks), "both": lambda: search.bidirectional_paths(edges, q),
+        "both_astar": lambda: search.bidirectional_paths(edges, q, search.euclidean_ahead(nodes, 100.0)), "oneway": lambda: search.astar_paths(oneway, nodes, q, 100.0),
+    }
+    rows = lambda run: sorted((x.query_id, x.source, x.target, -1 if x.d is None else round(x.d, 6)) for x in run().collect())
+    want = {k: rows(run) for k, run in runs.items()}
+    weight = {(r.src, r.dst): r.w for r in edges.collect()}
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    with monkeypatch.context() as m:
+        m.setattr(search, "_far", None)
+        assert {k: rows(run) for k, run in runs.items()} == want
+        for r in runs["both_astar"]().where("path IS NOT NULL").collect():
+            assert (r.path[0], r.path[-1]) == (r.source, r.target) and sum(weight[e] for e in itertools.pairwise(r.path)) == r.d
+    monkeypatch.setattr(search, "MIDDLE_EDGES", 10)
+    assert rows(runs["astar"]) == want["astar"]
