@@ -635,3 +635,18 @@ def test_pairs_of_edges_that_come_by_a_shuffle(spark, network, monkeypatch):
             assert (r.path[0], r.path[-1]) == (r.source, r.target) and sum(weight[e] for e in itertools.pairwise(r.path)) == r.d
     monkeypatch.setattr(search, "MIDDLE_EDGES", 10)
     assert rows(runs["astar"]) == want["astar"]
+
+
+def test_guided_searches_of_any_length_go_side_by_side():
+    n = 400
+    a = np.arange(n)
+    line = search._Adjacency(np.r_[a, a + 1], np.r_[a + 1, a], np.ones(2 * n))
+    ends, calls = np.arange(40, n + 1, 40), []
+
+    def ahead(v, t):
+        calls.append(len(v))
+        return np.abs(v - t).astype(float)
+
+    dist, d, _ = line.many(np.zeros(len(ends), int), ends, ahead)
+    assert d.tolist() == ends.tolist() and all(dist[i, : e + 1].tolist() == list(range(e + 1)) for i, e in enumerate(ends))
+    assert len(calls) < 2 * n, "searches wait for shorter ones"  # all lengths together are 2,200
