@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wayfinder.functions import geometry as G
-from wayfinder.operators import graph, joins, labels, merge, report, route, search
+from wayfinder.operators import graph, joins, labels, merge, report, route, search, separators
 from wayfinder.sources import catalog, features, files
 from wayfinder.streaming import live
 
@@ -650,3 +650,51 @@ def test_guided_searches_of_any_length_go_side_by_side():
     dist, d, _ = line.many(np.zeros(len(ends), int), ends, ahead)
     assert d.tolist() == ends.tolist() and all(dist[i, : e + 1].tolist() == list(range(e + 1)) for i, e in enumerate(ends))
     assert len(calls) < 2 * n, "searches wait for shorter ones"  # all lengths together are 2,200
+
+
+def test_distances_without_searches(spark, network, monkeypatch):
+    _, nodes, edges = network
+    more = spark.createDataFrame([(200, 201, 7), (201, 200, 7)], "src long, dst long, w long")
+    edges = edges.select("src", "dst", F.col("w").cast("long").alias("w")).union(more).cache()
+    asked = [(k, k, (k * 37 + 11) % 120) for k in range(40)] + [(90, 5, 5), (91, 3, 100000), (92, 100000, 3), (93, 100000, 100000), (94, 3, 200), (95, 201, 200)]
+    q = spark.createDataFrame(asked, "query_id long, source long, target long")
+    marks = search.landmark_distances(edges, search.select_landmarks(nodes, 8)).cache()
+    runs = {
+        "alt": lambda e: search.alt_paths(e, q, marks, paths=False), "both_astar": lambda e: search.bidirectional_paths(e, q, search.euclidean_ahead(nodes, 100.0), paths=False),
+        "dijkstra": lambda e: search.shortest_paths(e, q, paths=False),
+    }
+    rows = lambda found: sorted((x.query_id, x.source, x.target, x.d) for x in found.collect())
+    want = rows(search.shortest_paths(edges, q))
+    oneway, halves = edges.where("src < dst OR src % 3 > 0"), edges.withColumn("w", F.col("w") / 2)
+    others = [(e, rows(search.shortest_paths(e, q))) for e in (oneway, halves)]
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    monkeypatch.setattr(search, "_far", None)
+    for e, found in others:  # edges without an equal back, and lengths that aren't whole, are searched
+        assert rows(search.shortest_paths(e, q, paths=False)) == found
+    for name, run in runs.items():
+        assert rows(run(edges)) == want, name
+        assert run(edges).where("visited IS NOT NULL").isEmpty(), "pairs are searched"
+
+
+def test_separators_of_any_places_and_too_wide_graphs(monkeypatch):
+    r = np.random.default_rng(3)
+    for n, k in ((60, 2), (500, 3)):
+        xy = r.integers(0, 1000, (n, 2))
+        a = np.repeat(np.arange(n), k)
+        b = ((xy[:, None] - xy[None]) ** 2).sum(-1).argsort(axis=1, kind="stable")[:, 1 : k + 1].ravel()
+        w = np.ceil(np.hypot(*(xy[a] - xy[b]).T)) + 1
+        g = search._Adjacency(np.r_[a, b], np.r_[b, a], np.r_[w, w])
+        source, target = np.arange(n), r.integers(0, n, n)
+        want = [g.many(np.array([s]), np.array([t]))[1][0] for s, t in zip(source, target, strict=True)]
+        for place in ([xy[:, 0], xy[:, 1]], [np.zeros(n)]):
+            by = separators.Separators(g.start, g.to, g.w, place)
+            got = by.distances(by.parts(np.arange(n)), source, target)
+            assert np.where(got < separators.FAR, got, np.inf).tolist() == want
+        assert len(np.unique(separators.pieces(g.start, g.to))) == len({tuple(np.isfinite(g.many(np.array([s]), np.array([-1]))[0][0])) for s in range(n)})
+    monkeypatch.setattr(separators, "WIDEST", 50)
+    assert separators.Separators(g.start, g.to, g.w, [xy[:, 0]]).parts(np.arange(n)) is None
+    asked = list(zip(source.tolist(), target.tolist(), strict=True))
+    assert search._apart(g, asked) is None
+    monkeypatch.setattr(separators, "WIDEST", 6000)
+    far = search._Adjacency(np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.full(4, 2.0**30 - 2))
+    assert search._apart(far, [(0, 1), (0, 2), (0, 5), (1, 1)]) == [(2.0**30 - 2, None, None), None, (None, None, None), (0.0, None, None)]
