@@ -669,8 +669,12 @@ def test_distances_without_searches(spark, network, monkeypatch):
     others = [(e, rows(search.shortest_paths(e, q))) for e in (oneway, halves)]
     monkeypatch.setattr(search, "SMALL_EDGES", 10)
     monkeypatch.setattr(search, "_far", None)
-    for e, found in others:  # edges without an equal back, and lengths that aren't whole, are searched
-        assert rows(search.shortest_paths(e, q, paths=False)) == found
+    with monkeypatch.context() as m:
+        m.setattr(search, "FEW_PAIRS", 0)
+        for e, found in others:  # edges without an equal back, and lengths that aren't whole, are searched
+            assert rows(search.shortest_paths(e, q, paths=False)) == found
+    assert runs["dijkstra"](edges).where("visited IS NULL").isEmpty(), "few pairs need no separators"
+    monkeypatch.setattr(search, "FEW_PAIRS", 0)
     for name, run in runs.items():
         assert rows(run(edges)) == want, name
         assert run(edges).where("visited IS NOT NULL").isEmpty(), "pairs are searched"
@@ -693,8 +697,10 @@ def test_separators_of_any_places_and_too_wide_graphs(monkeypatch):
         assert len(np.unique(separators.pieces(g.start, g.to))) == len({tuple(np.isfinite(g.many(np.array([s]), np.array([-1]))[0][0])) for s in range(n)})
     monkeypatch.setattr(separators, "WIDEST", 50)
     assert separators.Separators(g.start, g.to, g.w, [xy[:, 0]]).parts(np.arange(n)) is None
-    asked = list(zip(source.tolist(), target.tolist(), strict=True))
+    asked = list(zip(g.names[source].tolist(), g.names[target].tolist(), strict=True))
     assert search._apart(g, asked) is None
     monkeypatch.setattr(separators, "WIDEST", 6000)
+    monkeypatch.setattr(search, "ENDS_BATCH", 10_000)  # pairs go in several batches
+    assert [math.inf if d is None else d for d, _, _ in search._apart(g, asked)] == want
     far = search._Adjacency(np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.full(4, 2.0**30 - 2))
     assert search._apart(far, [(0, 1), (0, 2), (0, 5), (1, 1)]) == [(2.0**30 - 2, None, None), None, (None, None, None), (0.0, None, None)]
