@@ -680,6 +680,17 @@ def test_distances_without_searches(spark, network, monkeypatch):
         assert run(edges).where("visited IS NOT NULL").isEmpty(), "pairs are searched"
 
 
+@pytest.mark.parametrize("name", ["shortest_path"])
+def test_queries_of_distances_ask_for_no_ways(spark, monkeypatch, name):
+    from wayfinder.plans.queries import QUERIES
+
+    shuffled, calls = search._shuffled, []
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    monkeypatch.setattr(search, "_shuffled", lambda *a: calls.append(a[-1]) or shuffled(*a))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert calls == [False]
+
+
 def test_separators_of_any_places_and_too_wide_graphs(monkeypatch):
     r = np.random.default_rng(3)
     for n, k in ((60, 2), (500, 3)):
