@@ -680,7 +680,23 @@ def test_distances_without_searches(spark, network, monkeypatch):
         assert run(edges).where("visited IS NOT NULL").isEmpty(), "pairs are searched"
 
 
-@pytest.mark.parametrize("name", ["shortest_path"])
+def test_all_algorithms_take_distances_without_searches_once(spark, network, monkeypatch):
+    g, nodes, edges = network
+    edges = edges.select("src", "dst", F.col("w").cast("long").alias("w"))
+    q = spark.createDataFrame([(k, k, (k * 37 + 11) % 120) for k in range(40)] + [(91, 3, 100000)], "query_id long, source long, target long")
+    want = sorted((x.query_id, x.d) for x in search.shortest_paths(edges, q).collect())
+    shuffled, calls = search._shuffled, []
+    monkeypatch.setattr(search, "SMALL_EDGES", 10)
+    monkeypatch.setattr(search, "FEW_PAIRS", 0)
+    monkeypatch.setattr(search, "_shuffled", lambda *a: calls.append(a[-1]) or shuffled(*a))
+    got = report.compare_algorithms(spark, graph.SpatialGraph(nodes, edges), q, paths=False).collect()
+    assert calls == [False], "distances are got once"
+    assert {x.algorithm for x in got} == set(report.ALGORITHMS) and all(x.visited is None for x in got)
+    for name in report.ALGORITHMS:
+        assert sorted((x.query_id, x.d) for x in got if x.algorithm == name) == want
+
+
+@pytest.mark.parametrize("name", ["shortest_path", "algorithm_summary"])
 def test_queries_of_distances_ask_for_no_ways(spark, monkeypatch, name):
     from wayfinder.plans.queries import QUERIES
 
