@@ -696,7 +696,7 @@ def test_all_algorithms_take_distances_without_searches_once(spark, network, mon
         assert sorted((x.query_id, x.d) for x in got if x.algorithm == name) == want
 
 
-@pytest.mark.parametrize("name", ["shortest_path", "algorithm_summary", "bidirectional_path", "astar_path", "bidirectional_alt_path"])
+@pytest.mark.parametrize("name", ["shortest_path", "algorithm_summary", "bidirectional_path", "astar_path", "bidirectional_alt_path", "compare_algorithms"])
 def test_queries_of_distances_ask_for_no_ways(spark, monkeypatch, name):
     from wayfinder.plans.queries import QUERIES
 
