@@ -731,3 +731,31 @@ def test_separators_of_any_places_and_too_wide_graphs(monkeypatch):
     assert [math.inf if d is None else d for d, _, _ in search._apart(g, asked)] == want
     far = search._Adjacency(np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.full(4, 2.0**30 - 2))
     assert search._apart(far, [(0, 1), (0, 2), (0, 5), (1, 1)]) == [(2.0**30 - 2, None, None), None, (None, None, None), (0.0, None, None)]
+
+
+def test_many_near_obstacles_take_smaller_cells(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    at, to = r.integers(0, 400, (300, 2)), r.integers(-6, 7, (300, 2))
+    seg = spark.createDataFrame([(i, *map(float, (*p, *(p + q)))) for i, (p, q) in enumerate(zip(at, to, strict=True))], "id long, ax double, ay double, bx double, by double")
+    rows, rings = [], []
+    for k in range(60):  # of 4 sides, and of 20, which don't go along with their box
+        n, (x, y), far = 4 if k % 2 else 20, r.integers(0, 400, 2), int(r.integers(4, 12))
+        turn = 2 * math.pi * np.arange(n) / n
+        ring_ = np.round(np.stack([x + far * np.cos(turn), y + far * np.sin(turn)], axis=1) * 8) / 8
+        rings.append(ring_)
+        rows += [(k, *map(float, (*p, *q))) for p, q in zip(ring_, np.roll(ring_, -1, axis=0), strict=True)]
+    sides = spark.createDataFrame(rows, "poly_id long, ax double, ay double, bx double, by double")
+
+    def inside(p, ring_):
+        odd = 0
+        for a, b in zip(ring_, np.roll(ring_, -1, axis=0), strict=True):
+            odd += (a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (p[1] - a[1]) / (b[1] - a[1]) * (b[0] - a[0])
+        return odd % 2 == 1
+
+    held = {i for i, (p, q) in enumerate(zip(at, to, strict=True)) if any(inside(e, x) for e in (p, p + q) for x in rings)}
+    near = {x.id for x in seg.crossJoin(sides.toDF("k", "px", "py", "qx", "qy")).where(G.segment_distance(*[G.point(x, y) for x, y in (("ax", "ay"), ("bx", "by"), ("px", "py"), ("qx", "qy"))]) <= 0.5).select("id").distinct().collect()}
+    assert held - near and near - held
+    made, sizes = joins.with_cells, []
+    monkeypatch.setattr(joins, "with_cells", lambda *a: sizes.append(a[-1]) or made(*a))
+    assert {x.id for x in graph.near_obstacle(seg, sides, 500.0, 0.5).collect()} == held | near
+    assert max(sizes) < 100, "all meet all in one cell"
