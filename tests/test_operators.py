@@ -759,3 +759,19 @@ def test_many_near_obstacles_take_smaller_cells(spark, monkeypatch):
     monkeypatch.setattr(joins, "with_cells", lambda *a: sizes.append(a[-1]) or made(*a))
     assert {x.id for x in graph.near_obstacle(seg, sides, 500.0, 0.5).collect()} == held | near
     assert max(sizes) < 100, "all meet all in one cell"
+
+
+def test_queries_of_the_same_places_are_routed_once(spark, network, monkeypatch):
+    _, nodes, edges = network
+    q = spark.createDataFrame([(k, float(k % 2), 5.0, 150.0, 20.0) for k in range(5)], "query_id long, sx double, sy double, tx double, ty double")
+    sides = spark.createDataFrame([], "poly_id long, ax double, ay double, bx double, by double")
+    found, asked = search.shortest_paths, []
+    monkeypatch.setattr(search, "shortest_paths", lambda e, a: asked.append(a.count()) or found(e, a))
+    lines, rows = route.route(q, nodes, edges, sides, 50.0)
+    rows, lines = {r.query_id: tuple(r)[1:] for r in rows.select("query_id", "source", "target", "graph_distance", "length").collect()}, lines.select("query_id", "seq", "x", "y").collect()
+    assert asked == [2] and set(rows) == set(range(5))
+    line = {k: sorted(tuple(x)[1:] for x in lines if x.query_id == k) for k in range(5)}
+    for k in range(5):
+        assert line[k][0][1:] == (k % 2, 5.0) and line[k][-1][1:] == (150.0, 20.0)
+        assert rows[k] == rows[k % 2] and line[k] == line[k % 2]
+        assert math.isclose(rows[k][-1], sum(math.dist(a[1:], b[1:]) for a, b in itertools.pairwise(line[k])))

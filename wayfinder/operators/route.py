@@ -70,7 +70,13 @@ def project_onto(points: DataFrame, paths: DataFrame) -> DataFrame:
 
 def route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, sides: DataFrame, size: float, landmarks: DataFrame | None = None, radius: float = 40.0) -> tuple[DataFrame, DataFrame]:
     """Routes of queries(query_id, sx, sy, tx, ty): their vertices (query_id, seq, x, y, lat, lon), and a row each of
-    (query_id, source, target, graph_distance, length, visited). Queries without a way have no row."""
+    (query_id, source, target, graph_distance, length, visited). Queries without a way have no row.
+
+    Queries with the same two places are routed once."""
+    places = ["sx", "sy", "tx", "ty"]
+    alone = checkpoint(queries.groupBy(*places).agg(F.min("query_id").alias("query_id")))
+    same = queries.select(F.col("query_id").alias("asked"), *places).join(alone, places).select("asked", "query_id")
+    queries = alone
     ends = {e: joins.nearest(queries.select(F.col("query_id").alias("id"), F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")), nodes).select(F.col("id").alias("query_id"), F.col("other").alias(n)) for e, n in (("s", "source"), ("t", "target"))}
     asked = ends["s"].join(ends["t"], "query_id")
     found = search.alt_paths(edges, asked, landmarks) if landmarks is not None else search.shortest_paths(edges, asked)
@@ -79,8 +85,9 @@ def route(queries: DataFrame, nodes: DataFrame, edges: DataFrame, sides: DataFra
     point = lambda e: queries.join(found.select("query_id"), "query_id", "left_semi").select("query_id", F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"))
     full = continuous_paths(point("s"), point("t"), lines, sides, size, radius)
     lat, lon = unproject("x", "y")
-    length = path_lengths(full).select("query_id", "length")
-    return full.select("query_id", "seq", "x", "y", lat.alias("lat"), lon.alias("lon")), found.join(length, "query_id").select("query_id", "source", "target", F.col("d").alias("graph_distance"), "length", "visited")
+    rows = checkpoint(found.join(path_lengths(full).select("query_id", "length"), "query_id"))
+    every = lambda df: df.join(same, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
+    return every(full).select("query_id", "seq", "x", "y", lat.alias("lat"), lon.alias("lon")), every(rows).select("query_id", "source", "target", F.col("d").alias("graph_distance"), "length", "visited")
 
 
 def recent(routes: DataFrame, n: int = 50) -> DataFrame:
